@@ -140,3 +140,31 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             return now.toDF("node", "component")
         before = after
+
+
+def tiles(items: DataFrame, group: str, rung: Column, most: int) -> DataFrame:
+    """Spread the comparison of all items (uid, ...) of a group over tasks of bounded size.
+
+    A group of up to `most` items is one tile. A larger one is cut into blocks by rung and hash of
+    uid, where items that may match lie at most one rung apart; every two such blocks share a tile.
+    Adds block, x and y: a row for each tile (group, x, y) that the item's block belongs to.
+    """
+    whole = items.groupBy(group).agg(F.count("*").alias("all"))
+    items = items.join(whole, group).withColumn("rung", F.when(F.col("all") > most, rung).otherwise(F.lit(0).cast("long")))
+    blocks = items.groupBy(group, "rung").agg(F.ceil(F.count("*") * 2 / most).cast("long").alias("blocks"), F.first("all").alias("all"))
+    blocks = blocks.withColumn("blocks", F.when(F.col("all") > most, F.col("blocks")).otherwise(F.lit(1).cast("long"))).drop("all")
+    steps = (("below", -1), ("same", 0), ("above", 1))
+    kept = [c for c in items.columns if c not in ("all", "rung")]
+    for name, step in steps:
+        items = items.join(blocks.select(group, (F.col("rung") - step).alias("rung"), F.col("blocks").alias(name)), [group, "rung"], "left")
+
+    def place(rung: Column, block: Column) -> Column:
+        return rung * F.lit(1 << 32) + block
+
+    partners = [
+        F.when(F.col(name).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col(name) - 1), lambda b, s=step: place(F.col("rung") + s, b))).otherwise(F.array().cast("array<bigint>"))
+        for name, step in steps
+    ]
+    block = place(F.col("rung"), F.pmod(F.xxhash64("uid"), F.col("same")))
+    rows = items.select(*kept, block.alias("block"), F.explode(F.concat(*partners)).alias("other"))
+    return rows.select(*kept, "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, mixing
+from keyloom.llm import decontaminate, embedding_dedup, jaccard, mixing, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op10_jaccard": jaccard.op10_jaccard,
+}
+ORACLES = {
+    "op1_warc": warc.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op10_jaccard": jaccard.ORACLE,
 }
-ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op7_mixing": mixing.ORACLE}
