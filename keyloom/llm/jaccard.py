@@ -94,7 +94,7 @@ def classes_of(shared, k: int, percent: int):
                 may = size and d not in seen and in_filter(shared.value, first).sum() >= extra(least_overlap(size, percent))
                 kept.append(s.tobytes() if may else None)
                 seen.add(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "class", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "key", "n_shingles", "class", "tokens"])
 
     return run
 
@@ -162,44 +162,69 @@ def tile_links(percent: int):
     return run
 
 
-def links(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n_shingles, class; sets: uid, class; forest of the links between sets: a, b as uid)."""
-    docs = own(documents, "doc_id", "text")
+def class_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Step 1: doc_id, key, n_shingles, class of every row, and the tokens of those that may have a partner."""
     counted = docs.select("text").mapInArrow(filter_tokens(k, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 2")
     shared = bit_filter(counted.select("token"), "token", BITS)
-    rows = materialize(docs.mapInArrow(classes_of(shared, k, percent), "doc_id long, n_shingles long, class binary, tokens binary"), "classes")
+    return materialize(docs.mapInArrow(classes_of(shared, k, percent), "doc_id long, key long, n_shingles long, class binary, tokens binary"), "classes")
+
+
+def candidate_sets(rows: DataFrame) -> DataFrame:
+    """uid, class, n, tokens: each class that may have a partner once."""
     sets = rows.where("tokens is not null").groupBy("class").agg(F.any_value("tokens").alias("tokens"), F.max("n_shingles").alias("n"))
-    sets = materialize(sets.select(row_id(), "class", "n", "tokens"), "sets")
-    tokens = sets.select("uid", "tokens").select("uid", "tokens").mapInArrow(lambda it: each_token(it), "token long, uid long")
+    return materialize(sets.select(row_id(), "class", "n", "tokens"), "sets")
+
+
+def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """uid, token: the rarest n - T(n) + 1 shingles of each set, without those that no other set has."""
+    tokens = sets.select("uid", "tokens").mapInArrow(each_token, "token long, uid long")
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2")
     mine = tokens.join(df, "token").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).join(sets.select("uid", "n"), "uid")
     least = F.ceil(F.col("n") * percent / 100.0).cast("int")
-    prefix = mine.select("uid", F.expr("size(t)").alias("c"), "t", least.alias("least")).where("c >= least").select("uid", F.explode(F.slice("t", 1, F.col("c") - F.col("least") + 1)).alias("t"))
-    prefix = materialize(prefix.select("uid", F.col("t.token").alias("token")), "prefix")
+    some = mine.select("uid", F.size("t").alias("c"), "t", least.alias("least")).where("c >= least")
+    return materialize(some.select("uid", F.explode(F.slice("t", 1, F.col("c") - F.col("least") + 1)).alias("t")).select("uid", F.col("t.token").alias("token")), "prefix")
+
+
+def candidate_clusters(prefix: DataFrame) -> DataFrame:
+    """uid, cluster: every set tied to the smallest set of each of its lists, and the components of these ties."""
     heads = prefix.groupBy("token").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n >= 2")
     ties = prefix.join(heads, "token").where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
     clusters = components(ties)
-    linked = clusters.select(F.col("node").alias("uid"), F.col("component").alias("cluster")).union(clusters.select("component", "component").distinct())
+    return clusters.select(F.col("node").alias("uid"), F.col("component").alias("cluster")).union(clusters.select("component", "component").distinct())
+
+
+def links(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, key, n_shingles, class; sets: uid, class; a spanning forest of the links between sets: a, b as uid). key is xxhash64(doc_id, text)."""
+    docs = own(documents, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    every = class_rows(docs, k, percent)
+    sets = candidate_sets(every)
+    rows = materialize(every.drop("tokens"), "rows")
+    discard(every)
+    prefix = prefix_lists(sets, percent)
+    linked = candidate_clusters(prefix)
     # linked sizes differ by a factor of 1.25 at most, so by one rung
     rung = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("long")
     work = tiles(sets.select("uid", "n", "tokens").join(linked, "uid"), "cluster", rung, TILE)
     found = materialize(work.groupBy("cluster", "x", "y").applyInPandas(tile_links(percent), "a long, b long"), "links")
-    return rows.drop("tokens"), sets.select("uid", "class"), found
+    ids = materialize(sets.select("uid", "class"), "ids")
+    discard(sets)
+    discard(prefix)
+    return rows, ids, found
 
 
 def near_duplicates(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of documents (doc_id, text)."""
+    """doc_id, n_shingles, component_id, key for every row of documents (doc_id, text)."""
     rows, sets, found = links(documents, k, percent)
     parts = components(found)
     first = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     label = sets.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("class", F.coalesce("component", "uid").alias("part"))
     smallest = label.join(first, "class").groupBy("part").agg(F.min("first").alias("component_id"))
     named = first.join(label.join(smallest, "part"), "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, (rows["class"] == named["class"]) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named, (rows["class"] == named["class"]) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
 ORACLE = r"""
