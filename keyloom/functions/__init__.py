@@ -1 +1 @@
-
+"""Column functions: identities, keys, paths, codecs."""

@@ -110,19 +110,18 @@ def pick(letters: str, r: Column) -> Column:
     return F.substring(lit(letters), (r % len(letters) + 1).cast("int"), F.lit(1))
 
 
-def reshaped(value: Column, digits: Column, hexadecimal: bool = False) -> Column:
-    """Every digit and letter drawn anew within its class; all else stays."""
+def reshaped(value: Column, digits: Column, hexadecimal: Column) -> Column:
+    """Every digit and letter drawn anew within its class (hexadecimal: among hexadecimal digits); all else stays."""
 
     def step(s: Column, c: Column) -> Column:
-        r = draw(digits, s["k"])
-        low = F.lower(c)
-        if hexadecimal:
-            new = F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef", r)).when(c.rlike("[A-F]"), pick("ABCDEF", r))
-        else:
-            new = F.when(c.rlike("[0-9]"), pick("0123456789", r)).when(low.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", r))
-            new = new.when(low.rlike(r"\p{IsGreek}"), pick(LETTERS["greek"], r)).when(low.rlike(r"\p{IsCyrillic}"), pick(LETTERS["cyrillic"], r)).when(c.rlike(r"\p{IsLatin}"), pick(LETTERS["accented"], r))
-            new = F.when(c != low, F.upper(new)).otherwise(new)
-        return F.struct(F.concat(s["out"], F.coalesce(new, c)).alias("out"), (s["k"] + F.when(new.isNull(), 0).otherwise(1)).alias("k"))
+        # once for each character: its draw and lower case, then the new character, then the sum
+        one = F.transform(F.array(F.struct(draw(digits, s["k"]).alias("r"), F.lower(c).alias("low"))), lambda x: F.when(c == x["low"], other(c, x["low"], x["r"])).otherwise(F.upper(other(c, x["low"], x["r"]))))
+        return F.transform(one, lambda n: F.struct(F.concat(s["out"], F.coalesce(n, c)).alias("out"), (s["k"] + F.when(n.isNull(), 0).otherwise(1)).alias("k")))[0]
+
+    def other(c: Column, low: Column, r: Column) -> Column:
+        new = F.when(hexadecimal, F.when(low.rlike("[0-9a-f]"), F.when(c.rlike("[A-F]"), pick("abcdef", r)).otherwise(pick("0123456789abcdef", r))))
+        new = new.when(low.rlike("[0-9]"), pick("0123456789", r)).when(low.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", r))
+        return new.when(low.rlike(r"\p{IsGreek}"), pick(LETTERS["greek"], r)).when(low.rlike(r"\p{IsCyrillic}"), pick(LETTERS["cyrillic"], r)).when(low.rlike(r"\p{IsLatin}"), pick(LETTERS["accented"], r))
 
     return F.aggregate(F.split(value, ""), F.struct(lit("").alias("out"), F.lit(0).alias("k")), step, lambda s: s["out"])
 
@@ -134,12 +133,10 @@ def luhn(value: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + b) % 10
 
 
-def card(value: Column, digits: Column) -> Column:
-    """First digit kept; the last one makes the sum pass if it did, and fail if it didn't."""
-    new = F.concat(F.substring(value, 1, 1), reshaped(F.substring(value, F.lit(2), F.length(value) - 2), digits))
-    passes = (10 - luhn(F.concat(new, lit("0")))) % 10
-    fails = (passes + 1 + draw(digits, F.lit(30)) % 9) % 10
-    return F.concat(new, F.when(luhn(value) == 0, passes).otherwise(fails).cast("string"))
+def card(head: Column, value: Column, digits: Column) -> Column:
+    """head with a last digit that makes the Luhn sum pass if that of value does, and fail if it doesn't."""
+    passes = (10 - luhn(F.concat(head, lit("0")))) % 10
+    return F.concat(head, ((passes + F.when(luhn(value) == 0, 0).otherwise(1 + draw(digits, F.lit(30)) % 9)) % 10).cast("string"))
 
 
 def surname(name: Column, digits: Column) -> Column:
@@ -165,38 +162,51 @@ def person(value: Column, digits: Column, key: str) -> Column:
     return F.when(first == "", F.concat_ws(" ", title, surname(last, digits))).otherwise(F.concat_ws(" ", title, name, surname(last, digits)))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    d = digest(key, kind, normal(kind, value), attempt)
-    octets = F.transform(F.split(value, r"\."), lambda o, i: (F.when(F.length(o) == 3, 100 + draw(d, i * 2) % 156).when(F.length(o) == 2, 10 + draw(d, i * 2) % 90).otherwise(1 + draw(d, i * 2) % 9)).cast("string"))
-    kept = F.regexp_extract(value, r"^\+\d{1,3}(?!\d)", 0)  # the country code of a phone
-    last = F.regexp_extract(value, r"(\.\p{L}+)$", 1)  # the last label of an e-mail address
-    head = F.regexp_extract(value, r"^(secret|sk|pk|ghp|gho|AKIA|xoxb)", 1)
-    country = F.substring(value, 1, 2)
-    return (
-        F.when(kind == "ip", F.array_join(octets, "."))
-        .when(kind == "card", card(value, d))
-        .when(kind == "phone", F.concat(kept, reshaped(F.substring(value, F.length(kept) + 1, F.length(value)), d)))
-        .when(kind == "email", F.concat(reshaped(F.substring(value, F.lit(1), F.length(value) - F.length(last)), d), last))
-        .when((kind == "mac") | ((kind == "secret") & (head == "")), reshaped(value, d, hexadecimal=True))
-        .when(kind == "secret", F.concat(head, reshaped(F.substring(value, F.length(head) + 1, F.length(value)), d)))
-        .when(kind == "iban", F.concat(country, reshaped(F.substring(value, F.lit(3), F.length(value)), d)))
-        .when(kind == "person", person(value, d, key))
-        .otherwise(reshaped(value, d))
-    )
+def more(entities: Column, **fields) -> Column:
+    """An array of structs with further fields, each computed from the struct."""
+    return F.transform(entities, lambda x: F.struct(*[x[f].alias(f) for f in fields["have"]], *[fn(x).alias(name) for name, fn in fields.items() if name != "have"]))
+
+
+def typed(values: Column) -> Column:
+    """array of values -> array of (value, kind, name)."""
+    kinds = F.transform(values, lambda v: F.struct(v.alias("value"), type_of(v).alias("kind")))
+    return more(kinds, have=["value", "kind"], name=lambda x: normal(x["kind"], x["value"]))
+
 
+def surrogates(entities: Column, key: str) -> Column:
+    """array of (value, kind, name, attempt) -> array of (type, surrogate); a step for each thing that others use twice."""
 
-def names_a(kind: Column, value: Column) -> Column:
-    """What must be distinct: for persons the surname's surrogate, for others the normalised surrogate."""
-    return normal(kind, value)
+    def before(x: Column) -> Column:
+        """What stays of the beginning: a country code, a secret's prefix, a card's first digit."""
+        v = x["value"]
+        return F.when(x["kind"] == "phone", F.regexp_extract(v, r"^\+\d{1,3}(?!\d)", 0)).when(x["kind"] == "secret", F.regexp_extract(v, "^(sk|pk|ghp|gho|AKIA|xoxb)(?=[-_A-Za-z0-9]*[^0-9a-f])", 0)).when(x["kind"] == "iban", F.substring(v, 1, 2)).when(x["kind"] == "card", F.substring(v, 1, 1)).otherwise("")
+
+    def after(x: Column) -> Column:
+        """What is kept of the end, or made afterwards: the last label of a domain, a card's last digit."""
+        return F.when(x["kind"] == "email", F.regexp_extract(x["value"], r"(\.\p{L}+)$", 1)).when(x["kind"] == "card", F.substring(x["value"], -1, 1)).otherwise("")
+
+    def octets(x: Column) -> Column:
+        one = lambda o, i: F.when(F.length(o) == 3, 100 + draw(x["d"], i * 2) % 156).when(F.length(o) == 2, 10 + draw(x["d"], i * 2) % 90).otherwise(1 + draw(x["d"], i * 2) % 9)
+        return F.array_join(F.transform(F.split(x["value"], r"\."), lambda o, i: one(o, i).cast("string")), ".")
+
+    def core(x: Column) -> Column:
+        body = F.substring(x["value"], F.length(x["before"]) + 1, F.length(x["value"]) - F.length(x["before"]) - F.length(x["after"]))
+        hexadecimal = (x["kind"] == "mac") | ((x["kind"] == "secret") & (x["before"] == ""))
+        return F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", person(x["value"], x["d"], key)).otherwise(F.concat(x["before"], reshaped(body, x["d"], hexadecimal)))
+
+    have = ["value", "kind"]
+    step = more(entities, have=have, d=lambda x: digest(key, x["kind"], x["name"], x["attempt"]))
+    step = more(step, have=[*have, "d"], before=before, after=after)
+    step = more(step, have=[*have, "d", "after"], core=core)
+    return F.transform(step, lambda x: F.struct(x["kind"].alias("type"), F.when(x["kind"] == "card", card(x["core"], x["value"], x["d"])).when(x["kind"] == "email", F.concat(x["core"], x["after"])).otherwise(x["core"]).alias("surrogate")))
 
 
 def exceptions(matches: DataFrame, key: str) -> DataFrame:
     """(kind, name, attempt) of the entities whose first draw collides; matches: value."""
-    entity = matches.select("value").distinct().select(type_of(F.col("value")).alias("kind"), "value")
-    entity = entity.withColumn("name", normal(F.col("kind"), F.col("value"))).groupBy("kind", "name").agg(F.min("value").alias("value"))
+    entity = matches.select("value").distinct().select(F.inline(typed(F.array("value")))).groupBy("kind", "name").agg(F.min("value").alias("value"))
     now = materialize(entity.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        drawn = now.withColumn("drawn", names_a(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+        drawn = now.select("*", surrogates(F.array(F.struct("value", "kind", "name", "attempt")), key)[0]["surrogate"].alias("s")).withColumn("drawn", normal(F.col("kind"), F.col("s"))).drop("s")
         first = drawn.groupBy("kind", "drawn").agg(F.min("name").alias("first"))
         real = now.select("kind", F.col("name").alias("drawn"), F.lit(True).alias("real"))
         checked = drawn.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
@@ -219,18 +229,16 @@ def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
     attempts = F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
         docs = docs.withColumn("h", F.xxhash64(*names))
-        held = docs.where(F.size("m") > 0).select("h", F.explode("m").alias("value")).withColumn("kind", type_of(F.col("value"))).withColumn("name", normal(F.col("kind"), F.col("value")))
+        held = docs.where(F.size("m") > 0).select("h", F.inline(typed(F.col("m"))))
         held = held.join(odd, ["kind", "name"]).select("h", F.concat_ws("|", "kind", "name").alias("entity"), "attempt").distinct()
         held = materialize(held.groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("odd")), "exceptions")
         docs = docs.join(held, "h", "left").drop("h")
         attempts = F.col("odd")
 
-    def one(value: Column) -> Column:
-        kind = type_of(value)
-        attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("|", kind, normal(kind, value))), F.lit(0))
-        return F.struct(kind.alias("type"), surrogate(kind, value, attempt, key).alias("surrogate"))
-
-    docs = docs.select("*", F.when(F.size("m") > 0, F.transform("m", one)).otherwise(F.expr("cast(array() as array<struct<type:string,surrogate:string>>)")).alias("found"))
+    number = lambda x: F.coalesce(F.try_element_at(attempts, F.concat_ws("|", x["kind"], x["name"])), F.lit(0))
+    entities = more(typed(F.col("m")), have=["value", "kind", "name"], attempt=number)
+    none = F.expr("cast(array() as array<struct<type:string,surrogate:string>>)")
+    docs = docs.select("*", F.when(F.size("m") > 0, surrogates(entities, key)).otherwise(none).alias("found"))
     pieces = F.split(text, ANY, -1)
     rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("m")), "found", lambda p, f: F.concat(p, f["surrogate"])), ""), F.element_at(pieces, -1))
     # surnames that stand alone later on follow the person of the document

@@ -1 +1 @@
-
+"""Queries over the star-schema and document tables, each with its SQL."""

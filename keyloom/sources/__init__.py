@@ -1 +1 @@
-
+"""Sources and sinks: object stores, file scans, variables."""

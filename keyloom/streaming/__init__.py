@@ -1 +1 @@
-
+"""Change tracking, batch and streaming."""
