@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 class CodecNotFound(LookupError):
@@ -26,12 +27,12 @@ class Codec:
         return payload
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def deflate(payload: pd.Series) -> pd.Series:
     return payload.map(lambda b: None if b is None else zlib.compress(b, 1))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def inflate(payload: pd.Series) -> pd.Series:
     return payload.map(lambda b: None if b is None else zlib.decompress(b))
 
@@ -99,8 +100,13 @@ class Segmented(Codec):
         return f"segmented{self.size}({self.inner.id})"
 
     def encode(self, payload: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(payload) - 1) / self.size)).cast("int")), lambda i: F.hex(self.inner.encode(F.substring(payload, i * self.size + 1, F.lit(self.size)))))
-        return F.encode(F.array_join(pieces, ","), "UTF-8")
+        def cut(whole: Column) -> Column:
+            last = F.greatest(F.lit(0), F.floor((F.length(whole) - 1) / self.size)).cast("int")
+            pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.hex(self.inner.encode(F.substring(whole, i * self.size + 1, F.lit(self.size)))))
+            return F.encode(F.array_join(pieces, ","), "UTF-8")
+
+        # bound to a variable: the payload may itself be a Pandas UDF's result, which lambdas can't hold
+        return F.transform(F.array(payload), cut)[0]
 
     def decode(self, payload: Column) -> Column:
         pieces = F.transform(F.split(F.decode(payload, "UTF-8"), ","), lambda h: self.inner.decode(F.unhex(h)))

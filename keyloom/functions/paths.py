@@ -31,7 +31,7 @@ def ancestors(path: Column | str, itself: bool = False) -> Column:
     """Array of the ancestors, the root '' first."""
     parts = F.split(path, "/")
     upto = F.size(parts) - (0 if itself else 1)
-    return F.transform(F.sequence(F.lit(0), upto), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), upto), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
 
 
 def fan_out(digest: Column | str) -> Column:
