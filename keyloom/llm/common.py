@@ -169,10 +169,12 @@ def tiles(items: DataFrame, group: str, rung: Column, most: int) -> DataFrame:
     def place(rung: Column, block: Column) -> Column:
         return rung * F.lit(1 << 32) + block
 
-    partners = [
-        F.when(F.col(name).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col(name) - 1), lambda b, s=step: place(F.col("rung") + s, b))).otherwise(F.array().cast("array<bigint>"))
-        for name, step in steps
-    ]
+    def neighbours(name: str, step: int) -> Column:
+        # transform() would hand a second parameter of the lambda the index, so the step is bound here
+        every = F.transform(F.sequence(F.lit(0).cast("long"), F.col(name) - 1), lambda b: place(F.col("rung") + step, b))
+        return F.when(F.col(name).isNotNull(), every).otherwise(F.array().cast("array<bigint>"))
+
+    partners = [neighbours(name, step) for name, step in steps]
     block = place(F.col("rung"), F.pmod(F.xxhash64("uid"), F.col("same")))
     rows = items.select(*kept, block.alias("block"), F.explode(F.concat(*partners)).alias("other"))
     return rows.select(*kept, "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
