@@ -63,6 +63,20 @@ def test_fuzzy_passages(spark):
     assert near.end_word - near.start_word >= 100 and 0.8 < near.identity < 1 and near.component_id == 10
 
 
+def test_passages_with_even_changes_are_all_found(spark):
+    rng = random.Random(8)
+    texts = []
+    for step in (4, 5, 7, 8, 10, 20):
+        for n in (50, 60, 75, 100, 120):
+            for _ in range(4):
+                passage = words(rng, n).split()
+                other = [w if (i + 1) % step else "changed" for i, w in enumerate(passage)]
+                texts += [f"{words(rng, 40)} {' '.join(p)} {words(rng, 40)}" for p in (["start", *passage, "end"], ["start", *other, "end"])]
+    df = spark.createDataFrame(documents(texts), "doc_id long, text string, lang string, source string, n_chars long")
+    found = {(r.other_id, r.doc_id) for r in chaining.shared_passages(df).collect()}
+    assert found == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
 def test_chain_follows_the_order_of_both_texts():
     line = [(i, i + 100) for i in range(0, 60, 6)]
     assert sorted(chaining.chain([*line, (3, 500), (9, 20)])[0]) == line
