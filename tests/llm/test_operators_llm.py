@@ -77,6 +77,17 @@ def test_passages_with_even_changes_are_all_found(spark):
     assert found == {(i, i + 1) for i in range(0, len(texts), 2)}
 
 
+def test_passage_of_frequent_seeds_is_found(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60).split()
+    other = [w if i not in (20, 40) else "changed" for i, w in enumerate(passage)]
+    texts = [f"{words(rng, 30)} {' '.join(passage[p : p + 7])} {words(rng, 30)}" for p in range(54) for _ in range(10)]
+    texts += [f"{words(rng, 30)} {' '.join(p)} {words(rng, 30)}" for p in (passage, other)]
+    df = spark.createDataFrame(documents(texts), "doc_id long, text string, lang string, source string, n_chars long")
+    rows = chaining.shared_passages(df).collect()
+    assert [(r.other_id, r.doc_id) for r in rows] == [(540, 541)] and rows[0].end_word - rows[0].start_word >= 60
+
+
 def test_chain_follows_the_order_of_both_texts():
     line = [(i, i + 100) for i in range(0, 60, 6)]
     assert sorted(chaining.chain([*line, (3, 500), (9, 20)])[0]) == line
