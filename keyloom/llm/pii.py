@@ -65,7 +65,7 @@ def may_hold(text: Column) -> Column:
     """False only where no type can match: cheaper than looking for all of them."""
     titles = "|".join(t for g in "fm" for t in TITLES[g])
     some = text.contains("@") | text.rlike(r"[0-9](?:[0-9](?:[0-9]|-)|\.[0-9]+\.[0-9])|[0-9A-Z][0-9]{2}")
-    return some | text.rlike(":[0-9A-Fa-f]{2}:") | text.rlike("[0-9a-f]{32}") | text.rlike("(?:sk|pk|ghp|gho|AKIA|xoxb)[-_A-Za-z0-9]{16}") | text.rlike(rf"(?=[\p{{Lu}}г])(?:{titles})\.? \p{{Lu}}")
+    return some | text.rlike(r"\+[0-9]") | text.rlike(":[0-9A-Fa-f]{2}:") | text.rlike("[0-9a-f]{32}") | text.rlike("(?:sk|pk|ghp|gho|AKIA|xoxb)[-_A-Za-z0-9]{16}") | text.rlike(rf"(?=[\p{{Lu}}г])(?:{titles})\.? \p{{Lu}}")
 
 
 def all_matches(text: Column) -> Column:

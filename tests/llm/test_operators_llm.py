@@ -188,3 +188,17 @@ def test_surrogates_that_collide_draw_again(spark):
     rows = pii.replace(df).select("text", "found").collect()
     small = [r.found[0].surrogate for r in rows if r.text.startswith("ip ")]
     assert len(set(small)) == 81
+
+
+def test_prefilter_passes_every_type(spark):
+    samples = {
+        "email": ["a@b.de", "é.x@ü-y.org"], "mac": ["0a:1B:2c:3D:4e:5F"], "secret": ["a" * 32, "sk-" + "x" * 16, "AKIA" + "B" * 16], "ip": ["1.2.3.4", "255.10.0.1"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "GB33BUKB20201555555555"], "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4" * 13], "ssn": ["123-45-6789"],
+        "phone": ["+49 30 12 34 56", "+44 20 79 46 09 58", "+1 (22) 33 44 55", "+7.12.34.56", "+49123456", "(415) 555-0123", "415-555-0123"], "person": ["Mr Lee", "Mme. Zoé Noël", "госпожа Анна Лебедева", "Señora Ruiz"],
+    }
+    assert set(samples) == set(pii.TYPES)
+    texts = [f"x {v} y" for vs in samples.values() for v in vs]
+    df = spark.createDataFrame(documents(texts), "doc_id long, text string, lang string, source string, n_chars long")
+    kinds = [k for k, vs in samples.items() for _ in vs]
+    rows = {r.doc_id: r for r in df.select("doc_id", pii.may_hold(F.col("text")).alias("may"), pii.type_of(F.array_join(F.slice(F.split("text", " "), F.lit(2), F.size(F.split("text", " ")) - 2), " ")).alias("kind"), F.size(pii.all_matches(F.col("text"))).alias("n")).collect()}
+    assert [(rows[i].kind, rows[i].may, rows[i].n) for i in range(len(texts))] == [(k, True, 1) for k in kinds]
