@@ -202,3 +202,12 @@ def test_prefilter_passes_every_type(spark):
     kinds = [k for k, vs in samples.items() for _ in vs]
     rows = {r.doc_id: r for r in df.select("doc_id", pii.may_hold(F.col("text")).alias("may"), pii.type_of(F.array_join(F.slice(F.split("text", " "), F.lit(2), F.size(F.split("text", " ")) - 2), " ")).alias("kind"), F.size(pii.all_matches(F.col("text"))).alias("n")).collect()}
     assert [(rows[i].kind, rows[i].may, rows[i].n) for i in range(len(texts))] == [(k, True, 1) for k in kinds]
+
+
+def test_long_secrets_and_addresses_are_replaced(spark):
+    held = ["sk-proj-" + "aB3_x" * 30, "0123456789abcdef" * 9, "long.name" * 10 + "@example.com", "a@" + "b" * 70 + ".org", "a@b." + "c" * 30]
+    df = spark.createDataFrame(documents([f"x {v} y" for v in held]), "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r.doc_id: r for r in pii.replace(df).collect()}
+    assert [[x.type for x in rows[i].found] for i in range(5)] == [["secret"], ["secret"], ["email"], ["email"], ["email"]]
+    for i, v in enumerate(held):
+        assert v not in rows[i].text and len(rows[i].text) == len(v) + 4 and rows[i].text.startswith("x ") and rows[i].text.endswith(" y")
