@@ -9,7 +9,9 @@ keeps the shape: digits become digits, letters letters of the same case and scri
 IPv4 octets stay octets of as many digits, cards keep their first digit and pass or fail the Luhn test
 as before, phones keep the country code, e-mail addresses the last label of their domain. A person's
 title gives the gender of the first name; the surname maps alike with or without a first name, and
-later mentions by surname alone in the same document follow it.
+later mentions by surname alone in the same document follow it. A first name and its gender are an entity of
+their own, so that two persons of one surname stay two. A phone's digits are drawn once, from the number with its
+country code (1 where it is written without), and poured into each spelling.
 
 Collisions. The distinct entities of all documents are listed; where two of a type would get one
 surrogate, or a surrogate is itself an entity of the documents, all but the smallest draw again with the
@@ -42,6 +44,11 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na
 # Letters that stand in for letters outside a-z of the same script.
 LETTERS = {"accented": "àâäçèéêëîïñóôöùûü", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
 
+# How a first name of syllables ends, by script and gender.
+ENDINGS = {("latin", "f"): "na", ("latin", "m"): "n", ("cyrillic", "f"): "на", ("cyrillic", "m"): "н"}
+#: Country codes at the beginning of a number.
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # What a type looks like, the first that fits a match names its type.
 TYPES = {
@@ -88,7 +95,8 @@ def normal(kind: Column, value: Column) -> Column:
     """What stands for an entity in any spelling; for persons the surname."""
     digits = F.regexp_replace(value, r"\D", "")
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.when(value.startswith("+"), digits).otherwise(F.concat(lit("1"), digits)))
         .when(kind.isin("email", "mac"), F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "person", F.regexp_extract(value, r"(\S+)$", 1))
@@ -139,27 +147,56 @@ def card(head: Column, value: Column, digits: Column) -> Column:
     return F.concat(head, ((passes + F.when(luhn(value) == 0, 0).otherwise(1 + draw(digits, F.lit(30)) % 9)) % 10).cast("string"))
 
 
+def syllables(script: str, digits: Column, n: int) -> Column:
+    table_ = F.array(*map(F.lit, SYLLABLES[script]))
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.element_at(table_, draw(digits, k) % len(SYLLABLES[script]) + 1)), ""))
+
+
 def surname(name: Column, digits: Column) -> Column:
-    def of(script: str) -> Column:
-        n = len(SYLLABLES[script])
-        table_ = F.array(*map(F.lit, SYLLABLES[script]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.element_at(table_, draw(digits, k) % n + 1)), ""))
+    return F.when(name.rlike(r"\p{IsCyrillic}"), syllables("cyrillic", digits, 4)).otherwise(syllables("latin", digits, 4))
+
+
+def first_of(value: Column) -> Column:
+    """Gender and first name of a person, as f|Anna; null where the first name is missing."""
+    title, first = (F.regexp_extract(value, r"^(\S+) (?:(\S+) )?(\S+)$", i) for i in (1, 2))
+    return F.when(first != "", F.concat(F.when(F.regexp_replace(title, r"\.$", "").isin(TITLES["f"]), "f|").otherwise("m|"), first))
+
+
+def first_name(name: Column, digits: Column, attempt: Column) -> Column:
+    """A name of the gender and script of name (as f|Anna), in the same form: first from the lists, then of syllables."""
 
-    return F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    def of(script: str, gender: str) -> Column:
+        known = FIRST_NAMES[script, gender]
+        one = F.element_at(F.array(*map(F.lit, known)), draw(digits, F.lit(0)) % len(known) + 1)
+        return F.when(attempt == 0, one).otherwise(F.concat(syllables(script, digits, 3), lit(ENDINGS[script, gender])))
 
+    def either(script: str) -> Column:
+        return F.when(name.startswith("f"), of(script, "f")).otherwise(of(script, "m"))
 
-def person(value: Column, digits: Column, key: str) -> Column:
-    """Title kept, a first name of the title's gender, and the surname's surrogate."""
-    title, first, last = (F.regexp_extract(value, r"^(\S+) (?:(\S+) )?(\S+)$", i) for i in (1, 2, 3))
-    r = draw(digest(key, lit("first"), first, F.lit(0)), F.lit(0))
-    woman = F.regexp_replace(title, r"\.$", "").isin(TITLES["f"])
+    return F.concat(F.substring(name, 1, 2), F.when(name.rlike(r"\p{IsCyrillic}"), either("cyrillic")).otherwise(either("latin")))
 
-    def of(script: str) -> Column:
-        f, m = FIRST_NAMES[script, "f"], FIRST_NAMES[script, "m"]
-        return F.when(woman, F.element_at(F.array(*map(F.lit, f)), r % len(f) + 1)).otherwise(F.element_at(F.array(*map(F.lit, m)), r % len(m) + 1))
 
-    name = F.when(first.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
-    return F.when(first == "", F.concat_ws(" ", title, surname(last, digits))).otherwise(F.concat_ws(" ", title, name, surname(last, digits)))
+def person(value: Column, digits: Column, key: str, again: Column) -> Column:
+    """Title kept, the first name's surrogate (its attempt is `again`) and the surname's."""
+    title, last = (F.regexp_extract(value, r"^(\S+) (?:(\S+) )?(\S+)$", i) for i in (1, 3))
+    first = first_of(value)
+    new = F.substring(first_name(first, digest(key, lit("first"), first, again), again), 3, 1000)
+    return F.concat_ws(" ", title, new, surname(last, digits))
+
+
+def phone(value: Column, name: Column, digits: Column) -> Column:
+    """The number's digits drawn anew behind the country code, poured into the spelling of value."""
+    code = F.regexp_extract(name, COUNTRY, 1)
+    rest = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - F.length(code))), lambda k: pick("0123456789", draw(digits, k)))
+    number = F.concat(code, F.array_join(rest, ""))
+    number = F.when(value.startswith("+"), number).otherwise(F.substring(number, 2, 1000))
+    start = F.struct(lit("").alias("out"), number.alias("left"))
+
+    def step(s: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.struct(F.concat(s["out"], F.when(digit, F.substring(s["left"], 1, 1)).otherwise(c)).alias("out"), F.when(digit, F.substring(s["left"], 2, 1000)).otherwise(s["left"]).alias("left"))
+
+    return F.aggregate(F.split(value, ""), start, step, lambda s: s["out"])
 
 
 def more(entities: Column, **fields) -> Column:
@@ -173,13 +210,19 @@ def typed(values: Column) -> Column:
     return more(kinds, have=["value", "kind"], name=lambda x: normal(x["kind"], x["value"]))
 
 
+def with_firsts(entities: Column) -> Column:
+    """array of (value, kind, name) and the first names among them, of kind first."""
+    people = F.filter(entities, lambda x: (x["kind"] == "person") & first_of(x["value"]).isNotNull())
+    return F.concat(entities, F.transform(people, lambda x: F.struct(first_of(x["value"]).alias("value"), lit("first").alias("kind"), first_of(x["value"]).alias("name"))))
+
+
 def surrogates(entities: Column, key: str) -> Column:
-    """array of (value, kind, name, attempt) -> array of (type, surrogate); a step for each thing that others use twice."""
+    """array of (value, kind, name, attempt, again: the attempt of a person's first name) -> array of (type, surrogate); a step for each thing that others use twice."""
 
     def before(x: Column) -> Column:
-        """What stays of the beginning: a country code, a secret's prefix, a card's first digit."""
+        """What stays of the beginning: a secret's prefix, a card's first digit."""
         v = x["value"]
-        return F.when(x["kind"] == "phone", F.regexp_extract(v, r"^\+\d{1,3}(?!\d)", 0)).when(x["kind"] == "secret", F.regexp_extract(v, "^(sk|pk|ghp|gho|AKIA|xoxb)(?=[-_A-Za-z0-9]*[^0-9a-f])", 0)).when(x["kind"] == "iban", F.substring(v, 1, 2)).when(x["kind"] == "card", F.substring(v, 1, 1)).otherwise("")
+        return F.when(x["kind"] == "secret", F.regexp_extract(v, "^(sk|pk|ghp|gho|AKIA|xoxb)(?=[-_A-Za-z0-9]*[^0-9a-f])", 0)).when(x["kind"] == "iban", F.substring(v, 1, 2)).when(x["kind"] == "card", F.substring(v, 1, 1)).otherwise("")
 
     def after(x: Column) -> Column:
         """What is kept of the end, or made afterwards: the last label of a domain, a card's last digit."""
@@ -192,9 +235,9 @@ def surrogates(entities: Column, key: str) -> Column:
     def core(x: Column) -> Column:
         body = F.substring(x["value"], F.length(x["before"]) + 1, F.length(x["value"]) - F.length(x["before"]) - F.length(x["after"]))
         hexadecimal = (x["kind"] == "mac") | ((x["kind"] == "secret") & (x["before"] == ""))
-        return F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", person(x["value"], x["d"], key)).otherwise(F.concat(x["before"], reshaped(body, x["d"], hexadecimal)))
+        return F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", person(x["value"], x["d"], key, x["again"])).when(x["kind"] == "first", first_name(x["value"], x["d"], x["attempt"])).when(x["kind"] == "phone", phone(x["value"], x["name"], x["d"])).otherwise(F.concat(x["before"], reshaped(body, x["d"], hexadecimal)))
 
-    have = ["value", "kind"]
+    have = ["value", "kind", "name", "attempt", "again"]
     step = more(entities, have=have, d=lambda x: digest(key, x["kind"], x["name"], x["attempt"]))
     step = more(step, have=[*have, "d"], before=before, after=after)
     step = more(step, have=[*have, "d", "after"], core=core)
@@ -203,10 +246,10 @@ def surrogates(entities: Column, key: str) -> Column:
 
 def exceptions(matches: DataFrame, key: str) -> DataFrame:
     """(kind, name, attempt) of the entities whose first draw collides; matches: value."""
-    entity = matches.select("value").distinct().select(F.inline(typed(F.array("value")))).groupBy("kind", "name").agg(F.min("value").alias("value"))
+    entity = matches.select("value").distinct().select(F.inline(with_firsts(typed(F.array("value"))))).groupBy("kind", "name").agg(F.min("value").alias("value"))
     now = materialize(entity.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        drawn = now.select("*", surrogates(F.array(F.struct("value", "kind", "name", "attempt")), key)[0]["surrogate"].alias("s")).withColumn("drawn", normal(F.col("kind"), F.col("s"))).drop("s")
+        drawn = now.select("*", surrogates(F.array(F.struct("value", "kind", "name", "attempt", F.lit(0).alias("again"))), key)[0]["surrogate"].alias("s")).withColumn("drawn", normal(F.col("kind"), F.col("s"))).drop("s")
         first = drawn.groupBy("kind", "drawn").agg(F.min("name").alias("first"))
         real = now.select("kind", F.col("name").alias("drawn"), F.lit(True).alias("real"))
         checked = drawn.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
@@ -229,14 +272,15 @@ def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
     attempts = F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
         docs = docs.withColumn("h", F.xxhash64(*names))
-        held = docs.where(F.size("m") > 0).select("h", F.inline(typed(F.col("m"))))
+        held = docs.where(F.size("m") > 0).select("h", F.inline(with_firsts(typed(F.col("m")))))
         held = held.join(odd, ["kind", "name"]).select("h", F.concat_ws("|", "kind", "name").alias("entity"), "attempt").distinct()
         held = materialize(held.groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("odd")), "exceptions")
         docs = docs.join(held, "h", "left").drop("h")
         attempts = F.col("odd")
 
     number = lambda x: F.coalesce(F.try_element_at(attempts, F.concat_ws("|", x["kind"], x["name"])), F.lit(0))
-    entities = more(typed(F.col("m")), have=["value", "kind", "name"], attempt=number)
+    again = lambda x: F.coalesce(F.try_element_at(attempts, F.concat(lit("first|"), first_of(x["value"]))), F.lit(0))
+    entities = more(typed(F.col("m")), have=["value", "kind", "name"], attempt=number, again=again)
     none = F.expr("cast(array() as array<struct<type:string,surrogate:string>>)")
     docs = docs.select("*", F.when(F.size("m") > 0, surrogates(entities, key)).otherwise(none).alias("found"))
     pieces = F.split(text, ANY, -1)

@@ -211,3 +211,21 @@ def test_long_secrets_and_addresses_are_replaced(spark):
     assert [[x.type for x in rows[i].found] for i in range(5)] == [["secret"], ["secret"], ["email"], ["email"], ["email"]]
     for i, v in enumerate(held):
         assert v not in rows[i].text and len(rows[i].text) == len(v) + 4 and rows[i].text.startswith("x ") and rows[i].text.endswith(" y")
+
+
+def test_persons_of_one_surname_stay_distinct(spark):
+    firsts = sorted({words(random.Random(i), 1).capitalize() for i in range(60)} | set(pii.FIRST_NAMES["latin", "f"]))
+    texts = [f"then Mrs {f} Smith came" for f in firsts]
+    df = spark.createDataFrame(documents(texts), "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = [r.found[0].surrogate.split() for r in pii.replace(df).collect()]
+    assert len({d[1] for d in drawn}) == len(firsts) and len({d[2] for d in drawn}) == 1 and not {d[1] for d in drawn} & set(firsts)
+
+
+def test_spellings_of_one_phone_share_a_surrogate(spark):
+    texts = ["+14155550123", "+1 415 555 0123", "(415) 555-0123", "+493012345678", "+49 30 12345678", "+49 (30) 1234 5678"]
+    df = spark.createDataFrame(documents([f"call {t} now" for t in texts]), "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r.doc_id: r.found[0].surrogate for r in pii.replace(df).collect()}
+    assert [re.sub("[0-9]", "0", rows[i]) for i in range(6)] == [re.sub("[0-9]", "0", t) for t in texts]
+    digits = [re.sub("[^0-9]", "", rows[i]) for i in range(6)]
+    assert digits[0] == digits[1] == "1" + digits[2] and digits[0][0] == "1" and digits[0] != "14155550123"
+    assert digits[3] == digits[4] and digits[3].startswith("49") and digits[3] != "493012345678"
