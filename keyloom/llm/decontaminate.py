@@ -21,6 +21,7 @@ not listed; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,10 +59,11 @@ def around(text: bytes, starts, ends, a: int, b: int) -> list[str]:
 
 
 def item_tokens(window: int):
-    """Every shingle of every item: its hash, its size, where it lies, and the item's words around it."""
+    """Every shingle of every item: a key of the item's text (ids may be null or repeated), its hash, its size, where it lies, and the item's words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column(1).to_pylist()]
             for a, b, data, offsets in chunks(batch.column(1)):
                 starts, ends, first = word_spans(data, offsets, ALNUM)
                 h, text = word_hashes(data, starts, ends), LOWER[data].tobytes()
@@ -73,14 +75,14 @@ def item_tokens(window: int):
                     k = min(GRAM, need)
                     for p in range(lo, hi - k + 1) if need else ():
                         left, right = max(lo, p - need + k), min(hi, p + need)
-                        rows.append((batch.column(0)[a + i].as_py(), int(sized[k][p : p + 1].view(np.int64)[0]), k, need, p - lo, hi - lo, p - left, around(text, starts, ends, left, right)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, TOKEN_TYPES)], TOKEN_NAMES)
+                        rows.append((batch.column(0)[a + i].as_py(), sha[a + i], int(sized[k][p : p + 1].view(np.int64)[0]), k, need, p - lo, hi - lo, p - left, around(text, starts, ends, left, right)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, TOKEN_TYPES)], TOKEN_NAMES)
 
     return run
 
 
-TOKEN_NAMES = ["item", "token", "k", "need", "at", "item_words", "left", "around"]
-TOKEN_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+TOKEN_NAMES = ["item", "row", "token", "k", "need", "at", "item_words", "left", "around"]
+TOKEN_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
 
 
 def counts_of(found):
@@ -148,16 +150,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """(documents: uid, doc_id, n_words; hits: uid, item, start, end in words, each a stretch of verified windows)."""
     docs = own(documents, "doc_id", "text")
     tokens = own(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    tokens = materialize(tokens.mapInArrow(item_tokens(window), "item string, token long, k int, need int, at int, item_words int, left int, around array<string>"), "tokens")
+    tokens = materialize(tokens.mapInArrow(item_tokens(window), "item string, row string, token long, k int, need int, at int, item_words int, left int, around array<string>"), "tokens")
     every = bit_filter(tokens.select("token").distinct(), "token", BITS)
     seen = docs.select("text").mapInArrow(counts_of(every), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = materialize(tokens.join(seen, "token"), "counted")  # tokens in no document need no row: their windows occur nowhere
     # A window is the tokens at at..at+need-k of its item; its rarest token is chosen, the leftmost of equally rare ones.
-    token = counted.select("item", "item_words", "at", "k", "need", "n", "token")
+    token = counted.select("row", "item_words", "at", "k", "need", "n", "token").distinct()
     windows = token.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("need") + F.col("k")), F.least(F.col("at"), F.col("item_words") - F.col("need")))))
-    chosen = windows.groupBy("item", "item_words", "w").agg(F.min(F.struct("n", "at", "token")).alias("m"), F.count("*").alias("there"), F.first("need").alias("need"), F.first("k").alias("k"))
-    chosen = chosen.where("there >= need - k + 1").select("item", F.col("m.token").alias("token"), F.col("m.at").alias("at")).distinct()
-    prefix = materialize(counted.select("item", "token", "at", "k", "need", "left", "around").distinct().join(chosen.withColumn("i", F.col("item")).drop("item"), ["token", "at"]).where("i <=> item").drop("i"), "prefix")
+    chosen = windows.groupBy("row", "w").agg(F.min(F.struct("n", "at", "token")).alias("m"), F.count("*").alias("there"), F.first("need").alias("need"), F.first("k").alias("k"))
+    chosen = chosen.where("there >= need - k + 1").select("row", F.col("m.token").alias("token"), F.col("m.at").alias("at")).distinct()
+    prefix = materialize(counted.select("item", "row", "token", "at", "k", "need", "left", "around").distinct().join(chosen, ["row", "token", "at"]), "prefix")
     rare = bit_filter(prefix.select("token").distinct(), "token", BITS)
     found = materialize(docs.mapInArrow(occurrences(rare, window), "doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<string>>>").select(row_id(), "*"), "occurrences")
     # The same words around the same token match the same items: verify them once, whatever number of documents has them.

@@ -44,3 +44,12 @@ def test_awkward_rows_equal_sql(spark, awkward, name):
 @pytest.mark.parametrize("name", sorted(entries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     assert entries.QUERIES[name](spark, put(spark, tmp_path)).count() == 0
+
+
+def test_benchmark_rows_without_distinct_ids_equal_sql(spark, tmp_path):
+    rows = ["alpha beta gamma delta", "one two three four", "red green blue black", "north east south west"]
+    texts = [f"so {t} it is" for t in rows for _ in range(2)] + ["nothing of it"]
+    sf = put(spark, tmp_path, documents=documents(texts), benchmark=[(None, rows[0]), (None, rows[1]), (7, rows[2]), (7, rows[3])])
+    out = entries.QUERIES["op5_decontamination"](spark, sf)
+    assert out.where("n_hit = 4").count() == 8
+    assert_same(out, entries.ORACLES["op5_decontamination"], sf)
