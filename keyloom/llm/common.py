@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,18 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); only where none is set, as in tests, a local one."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a session inside one process (master local) may do without and gets a folder of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/keyloom"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application inside the shared one; drop_run() deletes it."""
+    return f"{shared_dir(spark)}/keyloom/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors, fixes what is not deterministic."""
-    path = f"{shared_dir(df.sparkSession)}/keyloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -44,12 +52,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing needs any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application wrote: its results can't be read after that."""
+    delete(spark, run_dir(spark))
 
 
 def own(documents: DataFrame, *columns: str) -> DataFrame:
@@ -57,6 +73,12 @@ def own(documents: DataFrame, *columns: str) -> DataFrame:
     return documents.select(*columns)
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits that stand for the values of columns, nulls included: two chained 64-bit hashes that begin differently."""
+    nulls = F.concat(*[F.isnull(c).cast("int").cast("string") for c in columns])
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), nulls, *columns)), 16, "0") for k in (1, 2)]))
+
+
 def row_id() -> Column:
     """A distinct id for every row; stable once the table is written."""
     return F.monotonically_increasing_id().alias("uid")
@@ -122,14 +144,26 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+#: A forest of at most so many edges is finished in one task.
+EDGES_IN_TASK = 1 << 18
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a long, b long) by alternating large-star and small-star steps.
 
     Returns (node, component) with the smallest node of each component as its id; nodes without
-    edges do not appear. Each step is a grouped minimum and a join on a node, so a node with
-    very many neighbours is pre-aggregated and its rows may be split over tasks.
+    edges do not appear. Each task first folds its edges to a forest. Each step is a grouped minimum
+    and a join on a node, so a node with very many neighbours is pre-aggregated and its rows may be
+    split over tasks. Steps run on as few partitions as hold EDGES_IN_TASK edges each; what fits into
+    one is a forest of whole components already.
     """
-    now = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forests, "a long, b long"), "edges")
+    forests = "a long, b long"
+    first = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forests, forests), "edges")
+    tasks = -(-first.count() // EDGES_IN_TASK)
+    now = materialize(first.coalesce(max(1, tasks)).mapInArrow(_forests, forests), "edges")
+    discard(first)
+    if tasks <= 1:
+        return now.toDF("node", "component")
 
     def state(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -150,16 +184,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def tiles(items: DataFrame, group: str, rung: Column, most: int) -> DataFrame:
-    """Spread the comparison of all items (uid, ...) of a group over tasks of bounded size.
+def tiles(items: DataFrame, group: str, rung: Column, most: int, weight: str | None = None) -> DataFrame:
+    """Spread the comparison of all items (uid, ...) of a group over tasks of bounded size. Give it light rows and join what is compared to its result.
 
-    A group of up to `most` items is one tile. A larger one is cut into blocks by rung and hash of
-    uid, where items that may match lie at most one rung apart; every two such blocks share a tile.
-    Adds block, x and y: a row for each tile (group, x, y) that the item's block belongs to.
+    A group of up to `most` items (or of so much weight in all) is one tile. A larger one is cut into
+    blocks by rung and hash of uid, where items that may match lie at most one rung apart; every two
+    such blocks share a tile. Adds block, x and y: a row for each tile (group, x, y) that the item's
+    block belongs to.
     """
-    whole = items.groupBy(group).agg(F.count("*").alias("all"))
+    size = F.sum(weight) if weight else F.count("*")
+    whole = items.groupBy(group).agg(size.alias("all"))
     items = items.join(whole, group).withColumn("rung", F.when(F.col("all") > most, rung).otherwise(F.lit(0).cast("long")))
-    blocks = items.groupBy(group, "rung").agg(F.ceil(F.count("*") * 2 / most).cast("long").alias("blocks"), F.first("all").alias("all"))
+    blocks = items.groupBy(group, "rung").agg(F.ceil(size * 2 / most).cast("long").alias("blocks"), F.first("all").alias("all"))
     blocks = blocks.withColumn("blocks", F.when(F.col("all") > most, F.col("blocks")).otherwise(F.lit(1).cast("long"))).drop("all")
     steps = (("below", -1), ("same", 0), ("above", 1))
     kept = [c for c in items.columns if c not in ("all", "rung")]

@@ -16,7 +16,9 @@ to the right, as far as they agree; every stretch of at least the window's lengt
 
 Defined results: null has no words; empty texts have none either and hash the empty string; repeated
 rows are documents of their own; repeated item ids count once; items with a null id hit words but are
-not listed; an empty benchmark hits nothing.
+not listed; an empty benchmark hits nothing; of equally rare shingles of a window the leftmost is its
+prefix; texts of any length are read whole; further columns are ignored, whatever their names; an empty
+table gives no rows. doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -161,10 +163,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     chosen = chosen.where("there >= need - k + 1").select("row", F.col("m.token").alias("token"), F.col("m.at").alias("at")).distinct()
     prefix = materialize(counted.select("item", "row", "token", "at", "k", "need", "left", "around").distinct().join(chosen, ["row", "token", "at"]), "prefix")
     rare = bit_filter(prefix.select("token").distinct(), "token", BITS)
-    found = materialize(docs.mapInArrow(occurrences(rare, window), "doc_id long, n_words long, hits array<struct<token:long,at:int,left:int,around:array<string>>>").select(row_id(), "*"), "occurrences")
-    # The same words around the same token match the same items: verify them once, whatever number of documents has them.
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = materialize(docs.mapInArrow(occurrences(rare, window), f"doc_id {kind}, n_words long, hits array<struct<token:long,at:int,left:int,around:array<string>>>").select(row_id(), "*"), "occurrences")
     hit = found.select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
     joined = hit.join(prefix.select("token", "item", "k", "need", F.col("left").alias("il"), F.col("around").alias("words")), "token")
+    # the length bound and the positional bounds: both sides have room for a window around the token, to the left and to the right
+    before = F.least(F.col("left"), F.col("il"))
+    behind = F.least(F.size("around") - F.col("left"), F.size("words") - F.col("il")) - F.col("k")
+    joined = joined.where((behind >= 0) & (before + F.col("k") + behind >= F.col("need")))
     hits = joined.select("uid", "at", "left", "around", "item", "k", "need", "il", "words").mapInArrow(agreement, "uid long, item string, start int, end int")
     return found.drop("hits"), hits
 

@@ -15,7 +15,8 @@ few rungs; it is spread over tasks of bounded size.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing and are components of their own; vectors of different lengths
-never link; repeated rows and ids are rows of their own; an empty table gives no rows.
+never link; repeated rows and ids are rows of their own; cosines that equal the threshold link; vectors of
+any length are compared whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     width = math.acos(threshold) + 1e-6
     total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda s, x: F.struct((s["s"] + x).alias("s"), (s["q"] + x * x).alias("q")), lambda s: s["s"] / F.sqrt(s["q"]))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.sqrt(F.size("embedding").cast("double")))))
-    work = tiles(classes.select("uid", "many", "embedding", F.concat_ws("/", "label", F.size("embedding")).alias("group")), "group", F.floor(angle / width).cast("long"), TILE)
+    place = tiles(classes.select("uid", F.concat_ws("/", "label", F.size("embedding")).alias("group"), F.floor(angle / width).cast("long").alias("angle")), "group", F.col("angle"), TILE).drop("angle")
+    work = place.join(classes.select("uid", "many", "embedding"), "uid")
     found = materialize(work.groupBy("group", "x", "y").applyInPandas(tile_links(threshold), "a long, b long, n long"), "links")
     parts = components(found.where("a <> b").select("a", "b"))
     counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n"))

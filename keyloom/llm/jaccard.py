@@ -13,11 +13,13 @@ share at least T(n) shingles.
    n - T(n) + 1 of each (shingles in one set only fall away). Linked sets meet in a list. Every set is
    tied to the smallest of its lists, and the components of these ties are candidate clusters: linked
    sets lie in one cluster.
-3. T-occurrence search by DivideSkip inside a cluster: for each query set, short inverted lists are
-   merged by counting, the longest ones are skipped and then probed by binary search for the sets that
-   may still reach the overlap. Sizes and exact overlaps decide. A cluster of more than `TILE` sets is
-   cut into blocks by size and hash, and every two blocks of compatible sizes meet in one task, so no
-   task holds an unbounded cluster; each returns a spanning forest of its links, not all pairs.
+3. T-occurrence search by DivideSkip inside a cluster: for each query set, its short inverted lists are
+   merged by a heap that skips ids which can't reach the overlap any more, and the longest lists are
+   left out and then probed by binary search for the ids that still may. Exact overlaps decide. Ids that
+   are already connected with the query are masked out, since components are what is asked for. A
+   cluster with more than `TILE` shingles is cut into blocks by size and hash, and every two blocks of
+   compatible sizes meet in one task, so no task holds an unbounded cluster; each returns a spanning
+   forest of its links, not all pairs.
 4. Components of the links, then the smallest doc_id of each.
 
 Defined results: a null text is empty; a row of an empty set is its own component; repeated rows and
@@ -28,21 +30,25 @@ null; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bit_filter, components, discard, forest, in_filter, materialize, own, row_id, table, tiles
+from keyloom.llm.common import bit_filter, components, discard, in_filter, materialize, row_id, row_key, table, tiles
 from keyloom.llm.words import chunks, shingles, word_hashes, word_spans
 
 WORDS_IN_SHINGLE = 5
 PERCENT = 80
 BITS = 26
-TILE = 2000
+TILE = 1 << 21
+#: Weighs how many lists are left out against the length of the longest.
+MU = 0.0085
 
 
 def least_overlap(n, percent: int):
@@ -108,13 +114,36 @@ def each_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(uid)], ["token", "uid"])
 
 
-def divide_skip(sets: list[np.ndarray], query: np.ndarray, indexed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions in sets) of a query set and an indexed set; `query` and `indexed` are masks over sets.
+def merge_short(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(id, count) of the ids that stand in at least `least` of the ascending lists."""
+    heap = [(ids[0], k, 0) for k, ids in enumerate(lists)]
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            out.append((top, len(popped)))
+            reach = top + 1
+        else:  # an id below the next one stands in the popped lists only, and these are too few
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                break
+            reach = heap[0][0]
+        for _, k, at in popped:
+            at = bisect_left(lists[k], reach, at)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+    return out
+
 
-    Pairs within the overlap of both masks are found once.
-    """
+def divide_skip(sets: list[np.ndarray], query: np.ndarray, indexed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (positions in sets) between query sets and indexed sets; `query` and `indexed` are masks over sets."""
     size = np.array([len(s) for s in sets])
-    ids = np.repeat(np.arange(len(sets)), size)
+    every = np.arange(len(sets))
+    ids = np.repeat(every, size)
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = df[token] >= 2
     ids, token = ids[keep], token[keep]
@@ -123,30 +152,34 @@ def divide_skip(sets: list[np.ndarray], query: np.ndarray, indexed: np.ndarray,
     order = np.lexsort((ids[post], token[post]))
     lists = ids[post][order]
     start = np.searchsorted(token[post][order], np.arange(len(df) + 1))
-    out_a, out_b = [], []
-    for q in np.flatnonzero(query):
-        mine_q = token[mine[q] : mine[q + 1]]
-        least = int(least_overlap(size[q], percent))
-        if len(mine_q) < least:
+    part, out_a, out_b = every.copy(), [], []  # part: the smallest position of a set's component so far
+    for q in np.flatnonzero(query).tolist():
+        own_tokens, least = token[mine[q] : mine[q + 1]], int(least_overlap(size[q], percent))
+        allowed = (part != part[q]) & (100 * np.minimum(size, size[q]) >= percent * np.maximum(size, size[q]))
+        if indexed[q]:
+            allowed &= (every > q) | ~query
+        if len(own_tokens) < least or not allowed.any():
             continue
-        length = start[mine_q + 1] - start[mine_q]
+        length = start[own_tokens + 1] - start[own_tokens]
         by = np.argsort(length, kind="stable")
-        skip = int(min(least - 1, least / (np.log2(max(2, length[by[-1]])) + 1)))
-        short, long = mine_q[by[: len(by) - skip]], mine_q[by[len(by) - skip :]]
-        count = np.bincount(np.concatenate([lists[start[t] : start[t + 1]] for t in short.tolist()]), minlength=len(sets))
-        found = np.flatnonzero(count >= least - skip)
-        found = found[(found != q) & ((found > q) | ~(indexed[q] & query[found]))]
-        found = found[100 * np.minimum(size[found], size[q]) >= percent * np.maximum(size[found], size[q])]
-        have = count[found]
-        for t in long.tolist() if len(found) else ():
-            part = lists[start[t] : start[t + 1]]
-            if len(part):
-                have = have + (part[np.minimum(np.searchsorted(part, found), len(part) - 1)] == found)
-        hit = found[100 * have >= percent * (size[found] + size[q] - have)]
-        out_a.append(np.full(len(hit), q))
-        out_b.append(hit)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+        skip = int(min(least - 1, least / (MU * np.log2(max(2, length[by[-1]])) + 1)))
+        short, long = own_tokens[by[: len(by) - skip]], own_tokens[by[len(by) - skip :]]
+        parts = [lists[start[t] : start[t + 1]] for t in short.tolist()]
+        merged = merge_short([x.tolist() for x in (p[allowed[p]] for p in parts) if len(x)], least - skip)
+        if not merged:
+            continue
+        found, have = (np.array(x) for x in zip(*merged))
+        for t in long.tolist():
+            ids_t = lists[start[t] : start[t + 1]]
+            if len(ids_t):
+                have = have + (ids_t[np.minimum(np.searchsorted(ids_t, found), len(ids_t) - 1)] == found)
+        for hit in found[100 * have >= percent * (size[found] + size[q] - have)].tolist():
+            if part[hit] != part[q]:
+                out_a.append(q)
+                out_b.append(hit)
+                low, high = sorted((int(part[hit]), int(part[q])))
+                part[part == high] = low
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
 def tile_links(percent: int):
@@ -156,8 +189,7 @@ def tile_links(percent: int):
         block, x, y = tile["block"].to_numpy(), tile["x"].iloc[0], tile["y"].iloc[0]
         a, b = divide_skip(sets, block == x, block == y, percent)
         uid = tile["uid"].to_numpy()
-        a, b = forest(uid[a], uid[b])
-        return pd.DataFrame({"a": a, "b": b})
+        return pd.DataFrame({"a": uid[a], "b": uid[b]})
 
     return run
 
@@ -166,7 +198,7 @@ def class_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Step 1: doc_id, key, n_shingles, class of every row, and the tokens of those that may have a partner."""
     counted = docs.select("text").mapInArrow(filter_tokens(k, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 2")
     shared = bit_filter(counted.select("token"), "token", BITS)
-    return materialize(docs.mapInArrow(classes_of(shared, k, percent), "doc_id long, key long, n_shingles long, class binary, tokens binary"), "classes")
+    return materialize(docs.mapInArrow(classes_of(shared, k, percent), "doc_id long, key binary, n_shingles long, class binary, tokens binary"), "classes")
 
 
 def candidate_sets(rows: DataFrame) -> DataFrame:
@@ -193,9 +225,9 @@ def candidate_clusters(prefix: DataFrame) -> DataFrame:
     return clusters.select(F.col("node").alias("uid"), F.col("component").alias("cluster")).union(clusters.select("component", "component").distinct())
 
 
-def links(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, key, n_shingles, class; sets: uid, class; a spanning forest of the links between sets: a, b as uid). key is xxhash64(doc_id, text)."""
-    docs = own(documents, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+def links(documents: DataFrame, k: int, percent: int, key: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, key, n_shingles, class; sets: uid, class; a spanning forest of the links between sets: a, b as uid)."""
+    docs = documents.select("doc_id", "text", key.alias("key"))
     every = class_rows(docs, k, percent)
     sets = candidate_sets(every)
     rows = materialize(every.drop("tokens"), "rows")
@@ -204,7 +236,8 @@ def links(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCEN
     linked = candidate_clusters(prefix)
     # linked sizes differ by a factor of 1.25 at most, so by one rung
     rung = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("long")
-    work = tiles(sets.select("uid", "n", "tokens").join(linked, "uid"), "cluster", rung, TILE)
+    place = tiles(sets.select("uid", "n").join(linked, "uid"), "cluster", rung, TILE, "n")
+    work = place.join(sets.select("uid", "tokens"), "uid")
     found = materialize(work.groupBy("cluster", "x", "y").applyInPandas(tile_links(percent), "a long, b long"), "links")
     ids = materialize(sets.select("uid", "class"), "ids")
     discard(sets)
@@ -212,19 +245,39 @@ def links(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCEN
     return rows, ids, found
 
 
-def near_duplicates(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, key for every row of documents (doc_id, text)."""
-    rows, sets, found = links(documents, k, percent)
+def labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """class, part: the component of every class that may have a partner."""
     parts = components(found)
+    return sets.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("class", F.coalesce("component", "uid").alias("part"))
+
+
+def near_duplicates(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of documents (doc_id, text)."""
+    rows, sets, found = links(documents, k, percent, F.lit(None).cast("binary"))
     first = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    label = sets.join(parts.withColumnRenamed("node", "uid"), "uid", "left").select("class", F.coalesce("component", "uid").alias("part"))
+    label = labelled(sets, found)
     smallest = label.join(first, "class").groupBy("part").agg(F.min("first").alias("component_id"))
     named = first.join(label.join(smallest, "part"), "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, (rows["class"] == named["class"]) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+    return rows.join(named, (rows["class"] == named["class"]) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_copies(documents: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """documents with one row of each component: that of the smallest doc_id (nulls last), of equal ones the smallest row key. Rows without words all stay."""
+    columns = documents.columns
+    docs = documents.withColumn("_key", row_key(*columns))
+    rows, sets, found = links(docs, k, percent, F.col("_key"))
+    held = rows.where("n_shingles > 0").groupBy("class", "key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = held.groupBy("class").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "n")).alias("first"))
+    part = first.join(labelled(sets, found), "class", "left").select(F.coalesce(F.col("part").cast("string").cast("binary"), "class").alias("part"), "first")
+    kept = part.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.n").alias("_n"))
+    kept = materialize(kept.union(rows.where("n_shingles = 0").select("key", F.lit(1).cast("long")).distinct()), "kept")
+    joined = docs.join(kept, "_key")
+    once, more = joined.where("_n = 1"), joined.where("_n > 1").dropDuplicates(["_key"])  # rows equal in every column
+    return once.unionByName(more).select(*columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

@@ -1,30 +1,36 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts, repeated epochs.
 
-Every document gets a key that depends on a seed, its id and its text only. Within a source the
-documents lie in the order of their keys; the order is split into equal ranges of the key space,
-so a source with a third of all rows is spread over as many ranges as any other share of rows
-would be. Sums of words by (source, range) are small; their running sums give each range its
-start, and a window within the range does the rest. A source's budget is its target in words:
-whole epochs first, then the documents whose running sum stays inside what is left, and the one
-document on the edge gives the words up to the edge, so a source's total is exact.
+Every document gets a key that depends on a seed, its id and its text only. The rows are sorted by
+range on (source, key), so a source with a third of all rows is spread over a third of the ranges.
+Each range sums its words from its beginning within a source as it passes; the totals of the ranges,
+a row for each source and range, are small, and their running sums give every range its start. A
+source's budget is its target in words: whole epochs first, then the documents whose running sum stays
+inside what is left, and the one document on the edge gives the words up to the edge, so a source's
+total is exact.
 
 Defined results: null or blank text has size 0 and gives 0 words; a null source is a source of its
 own, last in order; rows repeated in full share a key and are cut in either order, which gives the
-same rows; an empty table gives no rows; further columns are ignored by `mix`.
+same rows; texts of any length are counted whole; an empty table gives no rows; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyloom.llm.common import materialize, own, table
+from keyloom.llm.common import discard, materialize, own, table
+from keyloom.operators import keyset
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
-ROWS_A_RANGE = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -41,8 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     One small aggregate per round; a round ends with more sources at their cap or is the last.
     """
     n = len(weights)
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row for each source
-    weighed = materialize(sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (order % n + 1).cast("int")).cast("long")).withColumn("cap", F.lit(most) * F.col("source_size")), "weights")
+    sizes = materialize(sizes, "sources")
+    named = sizes.where("source is not null")
+    last = sizes.where("source is null").withColumn("position", F.lit(named.count()).cast("long"))
+    placed = keyset.positions(named, "source").unionByName(last)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % n + 1).cast("int")).cast("long")
+    weighed = materialize(placed.select("source", "source_size", weight.alias("weight"), (F.lit(most) * F.col("source_size")).alias("cap")), "weights")
+    discard(sizes)
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     rest, weight = total, None
     while True:
@@ -57,24 +68,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return weighed.withColumn("target", F.when(capped, F.col("cap").cast("double")).otherwise(share)).drop("cap", "weight")
 
 
+def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, source, size, key) in order of source and key -> the range, and the words before each row of its source in the range."""
+    part, last, total = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = batch.column(2).to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(size)])
+        source = batch.column(1).to_pylist()
+        new = np.array([i == 0 or source[i] != source[i - 1] for i in range(len(source))])
+        carried = np.where(np.cumsum(new) == 1, total, 0) if last == (source[0],) else 0
+        head = np.maximum.accumulate(np.where(new, np.arange(len(size)), 0))
+        inside = before[:-1] - before[head] + carried
+        total, last = int(inside[-1] + size[-1]), (source[-1],)
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(np.full(len(size), part, np.int32)), pa.array(inside)], ["doc_id", "source", "size", "part", "inside"])
+
+
 def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents (doc_id, text, source)."""
     rows = materialize(own(documents, "doc_id", "text", "source").select("doc_id", "source", size_of(F.col("text")).alias("size"), order_key(seed).alias("key")), "sizes")
-    ranges = max(16, rows.count() // ROWS_A_RANGE)
-    bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    sums = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")  # at most sources * ranges rows
+    kind = rows.schema["source"].dataType.simpleString()
+    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(ranges, "source", "key").sortWithinPartitions("source", "key", "doc_id", "size")
+    placed = materialize(ordered.mapInArrow(running, f"doc_id long, source {kind}, size long, part int, inside long"), "ranges")
+    discard(rows)
+    sums = materialize(placed.groupBy("source", "part").agg(F.sum("size").alias("words")), "sums")  # at most sources + ranges rows
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    starts = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"], "bucket", F.coalesce("before", F.lit(0)).alias("before"), "source_size", "target")
-    starts = starts.toDF("s", "b", "before", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    starts = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    starts = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"], "part", F.coalesce("before", F.lit(0)).alias("before"), "source_size", "target")
+    starts = starts.toDF("s", "p", "before", "source_size", "target")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
     left = budget - epochs * F.col("source_size") - F.col("before") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["bucket"] == starts["b"])).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["part"] == starts["p"])).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

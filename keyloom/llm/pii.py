@@ -15,11 +15,16 @@ country code (1 where it is written without), and poured into each spelling.
 
 Collisions. The distinct entities of all documents are listed; where two of a type would get one
 surrogate, or a surrogate is itself an entity of the documents, all but the smallest draw again with the
-next attempt number until none is left. Attempts above 0 are kept as a table of exceptions and joined to
-the documents that hold such entities; everything else is computed in place without a shuffle of texts.
+next attempt number; who has a surrogate keeps it and is not computed again. From attempt `WIDEN` on, which
+only entities of a nearly full shape reach (as when all 6561 addresses of four single digits occur), the
+shape widens with every attempt: octets of any length, a further digit, letter or syllable. So room never
+ends and the rounds do. Attempts above 0 are kept as a table of exceptions and joined to the documents that
+hold such entities; everything else is computed in place without a shuffle of texts.
 
 Defined results: a null text stays null with no entities; a text without entities is returned as it is;
-repeated rows and ids are rows of their own; an empty table gives no rows. Other columns are ignored.
+repeated rows and ids are rows of their own and read alike; of entities that draw the same surrogate the
+smallest in order of code points keeps it; texts of any length are rewritten whole; an empty table gives no
+rows. Other columns pass through, also those of the names used here.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import discard, materialize, own, table
+from keyloom.llm.common import discard, materialize, own, row_key, table
 
 KEY = "keyloom"
+#: The attempt from which a shape is no longer kept.
+WIDEN = 6
 
 # Titles by gender.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]}
@@ -127,7 +134,7 @@ def reshaped(value: Column, digits: Column, hexadecimal: Column) -> Column:
         return F.transform(one, lambda n: F.struct(F.concat(s["out"], F.coalesce(n, c)).alias("out"), (s["k"] + F.when(n.isNull(), 0).otherwise(1)).alias("k")))[0]
 
     def other(c: Column, low: Column, r: Column) -> Column:
-        new = F.when(hexadecimal, F.when(low.rlike("[0-9a-f]"), F.when(c.rlike("[A-F]"), pick("abcdef", r)).otherwise(pick("0123456789abcdef", r))))
+        new = F.when(hexadecimal, F.when(low.rlike("[0-9a-f]"), pick("0123456789abcdef", r)))
         new = new.when(low.rlike("[0-9]"), pick("0123456789", r)).when(low.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", r))
         return new.when(low.rlike(r"\p{IsGreek}"), pick(LETTERS["greek"], r)).when(low.rlike(r"\p{IsCyrillic}"), pick(LETTERS["cyrillic"], r)).when(low.rlike(r"\p{IsLatin}"), pick(LETTERS["accented"], r))
 
@@ -147,13 +154,18 @@ def card(head: Column, value: Column, digits: Column) -> Column:
     return F.concat(head, ((passes + F.when(luhn(value) == 0, 0).otherwise(1 + draw(digits, F.lit(30)) % 9)) % 10).cast("string"))
 
 
-def syllables(script: str, digits: Column, n: int) -> Column:
+def wider(attempt: Column) -> Column:
+    """How far the shape has widened: 0 below WIDEN, then one more with each attempt."""
+    return F.greatest(F.lit(0), attempt - (WIDEN - 1))
+
+
+def syllables(script: str, digits: Column, n: int, attempt: Column) -> Column:
     table_ = F.array(*map(F.lit, SYLLABLES[script]))
-    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.element_at(table_, draw(digits, k) % len(SYLLABLES[script]) + 1)), ""))
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1) + wider(attempt)), lambda k: F.element_at(table_, draw(digits, k) % len(SYLLABLES[script]) + 1)), ""))
 
 
-def surname(name: Column, digits: Column) -> Column:
-    return F.when(name.rlike(r"\p{IsCyrillic}"), syllables("cyrillic", digits, 4)).otherwise(syllables("latin", digits, 4))
+def surname(name: Column, digits: Column, attempt: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), syllables("cyrillic", digits, 4, attempt)).otherwise(syllables("latin", digits, 4, attempt))
 
 
 def first_of(value: Column) -> Column:
@@ -168,7 +180,7 @@ def first_name(name: Column, digits: Column, attempt: Column) -> Column:
     def of(script: str, gender: str) -> Column:
         known = FIRST_NAMES[script, gender]
         one = F.element_at(F.array(*map(F.lit, known)), draw(digits, F.lit(0)) % len(known) + 1)
-        return F.when(attempt == 0, one).otherwise(F.concat(syllables(script, digits, 3), lit(ENDINGS[script, gender])))
+        return F.when(attempt == 0, one).otherwise(F.concat(syllables(script, digits, 3, attempt), lit(ENDINGS[script, gender])))
 
     def either(script: str) -> Column:
         return F.when(name.startswith("f"), of(script, "f")).otherwise(of(script, "m"))
@@ -176,18 +188,18 @@ def first_name(name: Column, digits: Column, attempt: Column) -> Column:
     return F.concat(F.substring(name, 1, 2), F.when(name.rlike(r"\p{IsCyrillic}"), either("cyrillic")).otherwise(either("latin")))
 
 
-def person(value: Column, digits: Column, key: str, again: Column) -> Column:
+def person(value: Column, digits: Column, attempt: Column, key: str, again: Column) -> Column:
     """Title kept, the first name's surrogate (its attempt is `again`) and the surname's."""
     title, last = (F.regexp_extract(value, r"^(\S+) (?:(\S+) )?(\S+)$", i) for i in (1, 3))
     first = first_of(value)
     new = F.substring(first_name(first, digest(key, lit("first"), first, again), again), 3, 1000)
-    return F.concat_ws(" ", title, new, surname(last, digits))
+    return F.concat_ws(" ", title, new, surname(last, digits, attempt))
 
 
-def phone(value: Column, name: Column, digits: Column) -> Column:
-    """The number's digits drawn anew behind the country code, poured into the spelling of value."""
+def phone(value: Column, name: Column, digits: Column, attempt: Column) -> Column:
+    """The number's digits drawn anew behind the country code, poured into the spelling of value; digits beyond it stand at the end."""
     code = F.regexp_extract(name, COUNTRY, 1)
-    rest = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - F.length(code))), lambda k: pick("0123456789", draw(digits, k)))
+    rest = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - F.length(code) + wider(attempt))), lambda k: pick("0123456789", draw(digits, k)))
     number = F.concat(code, F.array_join(rest, ""))
     number = F.when(value.startswith("+"), number).otherwise(F.substring(number, 2, 1000))
     start = F.struct(lit("").alias("out"), number.alias("left"))
@@ -196,7 +208,7 @@ def phone(value: Column, name: Column, digits: Column) -> Column:
         digit = c.rlike("[0-9]")
         return F.struct(F.concat(s["out"], F.when(digit, F.substring(s["left"], 1, 1)).otherwise(c)).alias("out"), F.when(digit, F.substring(s["left"], 2, 1000)).otherwise(s["left"]).alias("left"))
 
-    return F.aggregate(F.split(value, ""), start, step, lambda s: s["out"])
+    return F.aggregate(F.split(value, ""), start, step, lambda s: F.concat(s["out"], s["left"]))
 
 
 def more(entities: Column, **fields) -> Column:
@@ -229,13 +241,19 @@ def surrogates(entities: Column, key: str) -> Column:
         return F.when(x["kind"] == "email", F.regexp_extract(x["value"], r"(\.\p{L}+)$", 1)).when(x["kind"] == "card", F.substring(x["value"], -1, 1)).otherwise("")
 
     def octets(x: Column) -> Column:
-        one = lambda o, i: F.when(F.length(o) == 3, 100 + draw(x["d"], i * 2) % 156).when(F.length(o) == 2, 10 + draw(x["d"], i * 2) % 90).otherwise(1 + draw(x["d"], i * 2) % 9)
+        any_length = x["attempt"] >= WIDEN
+        one = lambda o, i: F.when(any_length, draw(x["d"], i * 2) % 256).when(F.length(o) == 3, 100 + draw(x["d"], i * 2) % 156).when(F.length(o) == 2, 10 + draw(x["d"], i * 2) % 90).otherwise(1 + draw(x["d"], i * 2) % 9)
         return F.array_join(F.transform(F.split(x["value"], r"\."), lambda o, i: one(o, i).cast("string")), ".")
 
     def core(x: Column) -> Column:
         body = F.substring(x["value"], F.length(x["before"]) + 1, F.length(x["value"]) - F.length(x["before"]) - F.length(x["after"]))
         hexadecimal = (x["kind"] == "mac") | ((x["kind"] == "secret") & (x["before"] == ""))
-        return F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", person(x["value"], x["d"], key, x["again"])).when(x["kind"] == "first", first_name(x["value"], x["d"], x["attempt"])).when(x["kind"] == "phone", phone(x["value"], x["name"], x["d"])).otherwise(F.concat(x["before"], reshaped(body, x["d"], hexadecimal)))
+        body = F.when(x["kind"] == "mac", F.lower(body)).otherwise(body)
+        digit_more = F.concat(body, F.repeat(lit("0"), wider(x["attempt"])))
+        body = F.when(x["kind"].isin("ssn", "card", "iban", "secret"), digit_more).when(x["kind"] == "mac", F.concat(body, F.repeat(lit(":00"), wider(x["attempt"])))).when(x["kind"] == "email", F.concat(F.repeat(lit("a"), wider(x["attempt"])), body)).otherwise(body)
+        new = F.concat(x["before"], reshaped(body, x["d"], hexadecimal))
+        new = F.when((x["kind"] == "mac") & (x["value"] == F.upper(x["value"])), F.upper(new)).otherwise(new)
+        return F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", person(x["value"], x["d"], x["attempt"], key, x["again"])).when(x["kind"] == "first", first_name(x["value"], x["d"], x["attempt"])).when(x["kind"] == "phone", phone(x["value"], x["name"], x["d"], x["attempt"])).otherwise(new)
 
     have = ["value", "kind", "name", "attempt", "again"]
     step = more(entities, have=have, d=lambda x: digest(key, x["kind"], x["name"], x["attempt"]))
@@ -247,19 +265,28 @@ def surrogates(entities: Column, key: str) -> Column:
 def exceptions(matches: DataFrame, key: str) -> DataFrame:
     """(kind, name, attempt) of the entities whose first draw collides; matches: value."""
     entity = matches.select("value").distinct().select(F.inline(with_firsts(typed(F.array("value"))))).groupBy("kind", "name").agg(F.min("value").alias("value"))
-    now = materialize(entity.withColumn("attempt", F.lit(0)), "entities")
+    real = materialize(entity.withColumn("attempt", F.lit(0)), "entities")
+    open_, settled = real, []
     while True:
-        drawn = now.select("*", surrogates(F.array(F.struct("value", "kind", "name", "attempt", F.lit(0).alias("again"))), key)[0]["surrogate"].alias("s")).withColumn("drawn", normal(F.col("kind"), F.col("s"))).drop("s")
+        one = F.array(F.struct("value", "kind", "name", "attempt", F.lit(0).alias("again")))
+        drawn = open_.select("*", surrogates(one, key)[0]["surrogate"].alias("s")).withColumn("drawn", normal(F.col("kind"), F.col("s"))).drop("s")
+        drawn = materialize(drawn, "drawn")
         first = drawn.groupBy("kind", "drawn").agg(F.min("name").alias("first"))
-        real = now.select("kind", F.col("name").alias("drawn"), F.lit(True).alias("real"))
-        checked = drawn.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
-        again = (F.col("name") != F.col("first")) | F.coalesce("real", F.lit(False))
-        checked = materialize(checked.select("kind", "name", "value", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")), "entities")
-        more = not checked.where("again").isEmpty()
-        discard(now)
-        now = checked.drop("again")
-        if not more:
-            return now.where("attempt > 0").select("kind", "name", "attempt")
+        taken = real.select("kind", F.col("name").alias("drawn"))
+        for part in settled:
+            taken = taken.union(part.select("kind", "drawn"))
+        free = first.join(taken, ["kind", "drawn"], "left_anti").select("kind", "drawn", F.col("first").alias("name"), F.lit(True).alias("free"))
+        checked = materialize(drawn.join(free, ["kind", "drawn", "name"], "left"), "checked")
+        settled.append(checked.where("free").drop("free"))
+        rest = checked.where("free is null").select("kind", "name", "value", (F.col("attempt") + 1).alias("attempt"))
+        discard(drawn)
+        if rest.isEmpty():
+            break
+        open_ = rest
+    out = real.where("false").select("kind", "name", "attempt")
+    for part in settled:
+        out = out.union(part.where("attempt > 0").select("kind", "name", "attempt"))
+    return out
 
 
 def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
@@ -271,7 +298,7 @@ def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
     docs = docs.select("*", all_matches(text).alias("m"))
     attempts = F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
-        docs = docs.withColumn("h", F.xxhash64(*names))
+        docs = docs.withColumn("h", row_key(*names))
         held = docs.where(F.size("m") > 0).select("h", F.inline(with_firsts(typed(F.col("m")))))
         held = held.join(odd, ["kind", "name"]).select("h", F.concat_ws("|", "kind", "name").alias("entity"), "attempt").distinct()
         held = materialize(held.groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("odd")), "exceptions")

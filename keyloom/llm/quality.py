@@ -11,7 +11,8 @@ the rows whose crc32(doc_id as text) mod 4 is not 2; only their statistics reach
 
 Defined results: null is scored as an empty text, whose statistics are all 0; repeated rows score
 alike; without labels, or with labels of one kind only, the score is the share of label 1 (0 without
-any); a null doc_id is not held out; an empty table gives no rows.
+any); a null doc_id is not held out; of equally good cuts of a tree the first statistic's lowest is taken;
+texts of any length are scored whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations

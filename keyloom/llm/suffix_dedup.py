@@ -8,24 +8,29 @@
    each distinct content goes to its shard once, cut from the text.
 3. A task takes whole hashes, about `SHARD` bytes at a time, and builds the suffix array of their
    stretches by induced sorting (see suffixes.py): suffixes are classified, leftmost-smaller substrings
-   are sorted and named, names of names are formed until all differ, and the array is induced from
-   them in linear passes. Permuted common prefixes of 200 bytes and more mark the windows that repeat.
-   Contents seen twice or more repeat as a whole.
-4. A hash with more than `HOT` bytes of contents, such as that of a passage which very many texts share,
-   is not collected in one task: its windows are counted by their hashes instead, a row a window.
+   are sorted and named recursively, and the array is induced from them in linear passes. Permuted common
+   prefixes of 200 bytes and more mark the windows that repeat. Contents seen twice or more repeat as a whole.
+4. A hash with more than `MOST` bytes of contents, such as that of a passage which very many texts share,
+   is split into shards by further bytes: the windows whose smallest string lies at nearly the same place in
+   them have bytes around it in common, and the hash of these is their shard. Equal windows have them in
+   common too. Pieces that have become equal are one, and a shard that is still too large is split again,
+   down to single windows; each shard goes through step 3.
 5. The marked bytes of a document are merged and cut out.
 
 Matches never cross documents; a text of fewer than 200 bytes keeps all. Windows are compared by their
-bytes inside a shard; whole stretches, and the windows of hot hashes, by 64-bit hash within a 64-bit
-hash. Texts are scanned in segments of `SEGMENT` bytes, so scanning takes memory for one text.
+bytes inside a shard. Whole stretches are compared by two independent 64-bit hashes, that of their smallest
+string and that of their content, which different stretches share with a chance of about 2**-64 a pair of
+one shard. Texts are scanned in segments of `SEGMENT` bytes, so scanning takes memory for one text.
 
 Defined results: null is empty, an empty text keeps the hash of the empty string; repeated rows and ids
-are rows of their own and repeat each other; an empty table gives no rows.
+are rows of their own and repeat each other, so all their bytes from 200 on go, in every copy; texts of any
+length are scanned whole; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,7 +47,9 @@ LENGTH = 200
 GRAM = 32
 SEGMENT = 1 << 20
 SHARD = 2 << 20
-HOT = 64 << 20
+MOST = 8 << 20
+#: How far apart the places of the smallest string may lie in the windows of a shard, as it is split again and again.
+WIDTHS = (85, 22, 6, 1)
 BITS = 26
 SEPARATOR = 1
 
@@ -149,8 +156,11 @@ def second_scan(found, length: int):
     return run
 
 
+STRINGS = "hash long, gram long, content long, many boolean, bytes binary"
+
+
 def cuts(length: int):
-    """Cut stretches out of their texts: (text, list of stretches) -> (hash, content, many, bytes)."""
+    """Cut stretches out of their texts: (text, list of stretches) -> STRINGS; gram: the smallest hash of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +168,8 @@ def cuts(length: int):
             for text, parts in zip(batch.column(0), batch.column(1)):
                 view = text.as_buffer()
                 for p in parts.as_py():
-                    rows.append((p["hash"], p["content"], p["many"], view[p["start"] : p["start"] + p["n"] + length - 1].to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["hash", "content", "many", "bytes"])
+                    rows.append((p["hash"], p["hash"], p["content"], p["many"], view[p["start"] : p["start"] + p["n"] + length - 1].to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["hash", "gram", "content", "many", "bytes"])
 
     return run
 
@@ -199,41 +209,66 @@ def shard_arrays(length: int):
     """Rows in order of hash -> (hash, content, spans): suffix arrays over whole hashes, about SHARD bytes at a time."""
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        spans = repeated([r[3] for r in rows], [r[2] for r in rows], length)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(spans, SPANS)], ["hash", "content", "spans"])
+        spans = repeated([r[4] for r in rows], [r[3] for r in rows], length)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows]), pa.array(spans, SPANS)], ["hash", "content", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if size >= SHARD and row[0] != rows[-1][0]:
                     yield emit(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield emit(rows)
 
     return run
 
 
-def each_window(length: int):
-    """Every window of a hot stretch by the hash of its bytes."""
+def pieces(length: int, width: int):
+    """Cut strings into runs of windows whose smallest string lies within `width` places: (hash, content, offset) of each piece, its shard and content there, and the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, power, inverse = powers()
+        names = ["hash", "content", "offset", "gram", "shard", "piece", "many", "bytes"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
-            for h, c, m, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for low in range(0, len(s) - length + 1, SEGMENT):
-                    data = np.frombuffer(s, np.uint8)[low : low + SEGMENT + length - 1]
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * power[: len(data)])])
-                    n = len(data) - length + 1
-                    w = fmix((sums[length : length + n] - sums[:n]) * inverse[:n])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, 2 if m else 1)), pa.array(w.view(np.int64)), pa.array(np.arange(low, low + n, dtype=np.int32))], ["hash", "content", "weight", "window", "at"])
+            rows = []
+            for h, gram, content, many, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                n = len(data) - length + 1
+                at = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == gram)
+                place = at[np.searchsorted(at, np.arange(n))]  # of the first such string in each window
+                rung = (place - np.arange(n)) // width
+                first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (rung[1:] != rung[:-1])]))
+                for a, b, p, r in zip(first.tolist(), np.append(first[1:], n).tolist(), place[first].tolist(), rung[first].tolist()):
+                    common = data[p - r * width : p - (r + 1) * width + 1 + length]  # of all windows of this rung
+                    whole = data[a : b - 1 + length]
+                    shard = hashlib.blake2b(common + struct.pack("<qq", gram, r), digest_size=8).digest()
+                    rows.append((h, content, a, gram, *struct.unpack("<qq", shard + hashlib.blake2b(whole, digest_size=8).digest()), many, whole))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names)
 
     return run
 
 
+def marked_spans(strings: DataFrame, length: int, most: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """hash, content, a, b: the spans of windows that repeat, of every content (step 3; of large hashes step 4)."""
+    large = strings.groupBy("hash").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > most).select("hash")
+    large = materialize(large if widths else large.where("false"), "large")
+    cold = strings.join(large, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash").select("hash", "gram", "content", "many", "bytes")
+    spans = cold.mapInArrow(shard_arrays(length), "hash long, content long, spans array<struct<a:int,b:int>>").select("hash", "content", F.explode("spans").alias("x")).select("hash", "content", "x.a", "x.b")
+    spans = materialize(spans, "marked")
+    if large.isEmpty():
+        return spans
+    hot = strings.join(large, "hash").select("hash", "gram", "content", "many", "bytes")
+    parts = materialize(hot.mapInArrow(pieces(length, widths[0]), "hash long, content long, offset int, gram long, shard long, piece long, many boolean, bytes binary"), "pieces")
+    below = parts.groupBy("shard", "piece").agg(F.first("gram").alias("gram"), (F.max("many") | (F.count("*") > 1)).alias("many"), F.first("bytes").alias("bytes"))
+    below = materialize(below.select(F.col("shard").alias("hash"), "gram", F.col("piece").alias("content"), "many", "bytes"), "strings")
+    found = marked_spans(below, length, most, widths[1:]).toDF("shard", "piece", "a", "b")
+    back = parts.select("hash", "content", "offset", "shard", "piece").join(found, ["shard", "piece"])
+    return spans.unionByName(back.select("hash", "content", (F.col("a") + F.col("offset")).alias("a"), (F.col("b") + F.col("offset")).alias("b")))
+
+
 def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -263,7 +298,7 @@ def counted_hashes(docs: DataFrame, length: int) -> DataFrame:
     return materialize(by.where("n > 1 or twice").select("hash", (F.col("twice") | (F.col("lo") != F.col("hi"))).alias("several")), "hashes")
 
 
-def repeated_spans(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(texts: uid, doc_id, n_bytes, sha256, text; spans: uid, a, b, which may overlap)."""
     hashes = counted_hashes(docs, length)
     found = bit_filter(hashes, "hash", BITS)
@@ -276,25 +311,18 @@ def repeated_spans(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, D
     contents = some.groupBy("hash", "content").agg(F.count("*").alias("c"), F.min(F.struct("uid", "start", "n")).alias("at"))
     contents = contents.select("hash", "content", "at.*", (F.col("c") > 1).alias("many"))
     pick = contents.groupBy("uid").agg(F.collect_list(F.struct("hash", "content", "start", "n", "many")).alias("parts"))
-    strings = materialize(texts.select("uid", "text").join(pick, "uid").select("text", "parts").mapInArrow(cuts(length), "hash long, content long, many boolean, bytes binary"), "strings")
-    large = materialize(strings.groupBy("hash").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > hot).select("hash"), "hot")
-    cold = strings.join(large, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash")
-    marked = cold.mapInArrow(shard_arrays(length), "hash long, content long, spans array<struct<a:int,b:int>>").select("hash", "content", F.explode("spans").alias("x")).select("hash", "content", "x.a", "x.b")
-    if not large.isEmpty():
-        windows = strings.join(large, "hash").mapInArrow(each_window(length), "hash long, content long, weight long, window long, at int")
-        twice = windows.groupBy("hash", "window").agg(F.sum("weight").alias("w")).where("w > 1").drop("w")
-        marked = marked.unionByName(windows.join(twice, ["hash", "window"]).select("hash", "content", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
-    marked = materialize(marked, "marked")
+    strings = materialize(texts.select("uid", "text").join(pick, "uid").select("text", "parts").mapInArrow(cuts(length), STRINGS), "strings")
+    marked = materialize(marked_spans(strings, length, most), "marked")
     part = some.join(marked, ["hash", "content"]).select("uid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     spans = materialize(whole.unionByName(part), "spans")
-    for done in (strings, large, marked, rows):
+    for done in (strings, marked, rows):
         discard(done)
     return texts, spans
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte spans) for every row of documents (doc_id, text)."""
-    texts, spans = repeated_spans(own(documents, "doc_id", "text"), length, hot)
+    texts, spans = repeated_spans(own(documents, "doc_id", "text"), length, most)
     each = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     out = texts.join(each, "uid", "left").select("doc_id", "n_bytes", "sha256", F.when(F.col("text").isNotNull(), F.col("text")).alias("text"), "spans")
     return out.mapInArrow(removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>")

@@ -1,7 +1,9 @@
 """Suffix arrays by induced sorting and permuted common prefixes, in numpy.
 
-Buckets are the symbols. Within one bucket all that is induced at once is moved at once: runs of equal
-symbols, which would otherwise have to be followed one by one, are laid out by their lengths.
+Leftmost-smaller substrings are sorted and named, and the string of their names is sorted by the same
+procedure; of names that occur once only those are kept that end another's comparison. Over few symbols
+(bytes) a bucket is moved at once: runs of equal symbols, which would otherwise have to be followed one by
+one, are laid out by their lengths. Over many (names) suffixes are induced one by one.
 """
 
 from __future__ import annotations
@@ -69,30 +71,44 @@ def _equal_parts(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray
     return same
 
 
-def _ranks(names: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes of a string of names: names of pairs of names, of pairs of those, until all are distinct."""
-    n, step = len(names), 1
-    count = np.bincount(names)
-    rank = (np.cumsum(count) - count)[names]
-    open_ = np.flatnonzero(count[names] > 1)
-    while len(open_):
-        second = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
-        order = np.lexsort((second, rank[open_]))
-        r, s = rank[open_][order], second[order]
-        head = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
-        group = np.concatenate([[True], r[1:] != r[:-1]])
-        first = np.flatnonzero(group)[np.cumsum(group) - 1]
-        at = np.flatnonzero(head)[np.cumsum(head) - 1]
-        rank[open_[order]] = r + at - first
-        alone = head & np.concatenate([head[1:], [True]])
-        open_ = np.sort(open_[order][~alone])
-        step *= 2
-    return rank
+def _induce_each(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """As _induce, suffix by suffix: for alphabets as large as the text."""
+    count = np.bincount(t, minlength=size)
+    end = np.cumsum(count)
+    symbols, smaller, out = t.tolist(), small.tolist(), [-1] * len(t)
+    tail = end.tolist()
+    for i in reversed(lms.tolist()):
+        tail[symbols[i]] -= 1
+        out[tail[symbols[i]]] = i
+    head = (end - count).tolist()
+    for k in range(len(out)):
+        i = out[k] - 1
+        if i >= 0 and not smaller[i]:
+            out[head[symbols[i]]] = i
+            head[symbols[i]] += 1
+    tail = end.tolist()
+    for k in range(len(out) - 1, -1, -1):
+        i = out[k] - 1
+        if i >= 0 and smaller[i]:
+            tail[symbols[i]] -= 1
+            out[tail[symbols[i]]] = i
+    return np.array(out, np.int32)
+
+
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names, by recursion on the names that occur more than once and those right behind them."""
+    often = np.bincount(names)[names] > 1
+    keep = np.flatnonzero(often | np.concatenate([[False], often[:-1]]))
+    rank = np.zeros(len(names), np.int64)
+    if len(keep):
+        values, dense = np.unique(names[keep], return_inverse=True)
+        rank[keep[suffix_array(dense + 1, len(values) + 1)]] = np.arange(len(keep))
+    return np.lexsort((rank, names))
 
 
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of text, an array of symbols 1..size-1; a symbol 0 is added at the end and left out of the result."""
-    t = np.append(text, 0).astype(np.uint16)
+    t = np.append(text, 0).astype(np.uint16 if size < 1 << 16 else np.int32)
     n = len(t)
     place = np.arange(n, dtype=np.int32)
     change = np.flatnonzero(t[1:] != t[:-1]).astype(np.int32)
@@ -102,7 +118,12 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     last = change[np.minimum(np.searchsorted(change, place[:-1]), len(change) - 1)]  # last place of the run
     small = np.append(t[last] < t[last + 1], True)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
-    first = _induce(t, run_start, lms, size)
+    few = size <= 512 or size < n >> 8
+
+    def induce(order: np.ndarray) -> np.ndarray:
+        return _induce(t, run_start, order, size) if few else _induce_each(t, small, order, size)
+
+    first = induce(lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = first[is_lms[first]]
@@ -119,8 +140,8 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     names = np.zeros(len(lms), np.int64)
     names[index[ordered]] = name
     if name[-1] + 1 < len(lms):
-        ordered = lms[np.argsort(_ranks(names), kind="stable")]
-    return _induce(t, run_start, ordered, size)[1:]
+        ordered = lms[_sorted_names(names)]
+    return induce(ordered)[1:]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, stride: int = 16) -> tuple[np.ndarray, np.ndarray]:

@@ -7,8 +7,9 @@ maxima. Embeddings start with the smoothed log-odds of their bucket in one compo
 in the others; everything is then trained by Adam.
 
 Training takes at most `SAMPLE` labelled rows, those of the smallest hash of doc_id among the rows whose
-crc32(doc_id as text) mod 5 is not 0, and of them texts of at most `LONGEST` words; both bounds are
-parameters. Every fourth of these only calibrates. Scoring reads every whole text.
+crc32(doc_id as text) mod 5 is not 0, and ends that sample where its texts hold `WORDS` words together;
+both bounds are parameters. Every fourth of these only calibrates. A small sample is gone through more
+often, for at least `STEPS` steps of Adam. Scoring reads every whole text.
 
 Thresholds by language: the language is guessed from the text (the function words it uses), never read
 from `lang`. For each guessed language the threshold of the raw score is set on the calibration rows,
@@ -16,7 +17,9 @@ drawn towards the common threshold where a language has few, and the score is sh
 that threshold.
 
 Defined results: null and empty texts score as a text without words (all maxima 0); repeated rows score
-alike; without labels every score is 0; a null doc_id is not held out; an empty table gives no rows.
+alike; labels of one id that disagree are all learnt from; without labels every score is 0; a null doc_id
+is not held out; very long texts are scored whole, and learnt from whole where they fit into the sample's
+words; an empty table gives no rows; further columns, also of the names used here, pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keyloom.llm.common import own, shared_dir, table
 from keyloom.llm.words import ALNUM, chunks, word_hashes, word_spans
@@ -37,10 +41,12 @@ STEMS = (4, 6)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 SAMPLE = 6000
-LONGEST = 20_000
+WORDS = 4_000_000
 EPOCHS = 4
+STEPS = 160
+BATCH = 32
 #: Labelled texts that the prior of a bucket's log-odds weighs as much as.
-PRIOR = 10
+PRIOR = 3
 SEED = 7
 
 # Frequent function words of four languages.
@@ -174,9 +180,10 @@ def train(texts: list[np.ndarray], label: np.ndarray, language: np.ndarray) -> t
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     weight = np.where(label == 1, min(4.0, negative / positive), 1.0)
     rng, step = np.random.default_rng(SEED), 0
-    for _ in range(EPOCHS if len(np.unique(label[learn])) == 2 else 0):
+    batches = max(1, len(learn) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // batches)) if len(np.unique(label[learn])) == 2 else 0):
         order = rng.permutation(learn)
-        for part in np.array_split(order, max(1, len(order) // 128)):
+        for part in np.array_split(order, batches):
             ids, first = joined([texts[i] for i in part])
             grads = net.gradients(ids, first, label[part], weight[part])
             step += 1
@@ -211,17 +218,20 @@ def encodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(languages, pa.int32()), batch.column(2)], ["doc_id", "ids", "language", "label"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", divisor: int = 5, remainder: int = 0, sample: int = SAMPLE) -> tuple[Net, np.ndarray] | None:
-    """Train on at most `sample` labelled rows that aren't held out; None if there are none."""
+def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", divisor: int = 5, remainder: int = 0, sample: int = SAMPLE, words: int = WORDS) -> tuple[Net, np.ndarray] | None:
+    """Train on at most `sample` labels that aren't held out and `words` words of their texts; None if there are none."""
     shared_dir(documents.sparkSession)
     chosen = own(labels, "doc_id", column).where(F.col(column).isNotNull() & ~held_out(divisor, remainder)).select("doc_id", F.col(column).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = own(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    got = rows.mapInArrow(encodes, "doc_id long, ids binary, language int, label int").where(F.length("ids") <= 4 * (1 + len(STEMS)) * LONGEST).toPandas()
-    if not len(got):
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.xxhash64("ids")]
+    some = rows.mapInArrow(encodes, "doc_id long, ids binary, language int, label int").where(F.length("ids") <= 4 * (1 + len(STEMS)) * words).orderBy(*order).limit(sample)
+    so_far = F.sum(F.length("ids")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of at most `sample` rows
+    got = some.withColumn("so_far", so_far).where(F.col("so_far") <= 4 * (1 + len(STEMS)) * words).select("ids", "language", "label").toArrow()
+    if not got.num_rows:
         return None
-    got = got.assign(h=[hash((int(d) * 2654435761) % (1 << 32)) for d in got["doc_id"]]).sort_values(["h", "doc_id", "label"], kind="stable").head(2 * sample)
-    return train([np.frombuffer(b, np.int32).reshape(-1, 1 + len(STEMS)) for b in got["ids"]], got["label"].to_numpy().astype(np.float32), got["language"].to_numpy())
+    texts = [np.frombuffer(b.as_buffer(), np.int32).reshape(-1, 1 + len(STEMS)) for b in got.column("ids")]
+    return train(texts, got.column("label").to_numpy().astype(np.float32), got.column("language").to_numpy())
 
 
 def scores(documents: DataFrame, model: tuple[Net, np.ndarray] | None) -> DataFrame:

@@ -17,7 +17,9 @@ s3, gs). Spark's own readers cannot start inside a .gz file, hence byte ranges a
 
 Defined results: a null payload is empty; rows with the same smallest id and payload are all responses;
 a null id sorts last and is kept; an empty table writes no archive and reads as no rows; a member that
-ends early or is damaged is skipped and the scan goes on behind its magic.
+ends early or is damaged, or a response whose payload has another digest than it states, is skipped and the
+scan goes on behind its magic; payloads of any length are one record; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialize, own, shared_dir, table
+from keyloom.llm.common import materialize, own, run_dir, table
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -103,19 +105,29 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
 
 
 class Window:
-    """A forward window on a file: bytes from `at` on, read a block at a time."""
+    """A forward window on a file: bytes from `at` on, read a block at a time. What is dropped stays in the buffer until as much again has been read."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.data, self.skip, self.base = file, bytearray(), 0, at
         file.seek(at)
 
+    @property
+    def at(self) -> int:
+        return self.base + self.skip
+
     def more(self) -> bool:
+        if 2 * self.skip > len(self.data):
+            del self.data[: self.skip]
+            self.base, self.skip = self.base + self.skip, 0
         block = self.file.read(BLOCK)
         self.data += block
         return bool(block)
 
+    def left(self) -> int:
+        return len(self.data) - self.skip
+
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.skip += n
 
 
 def decode(window: Window) -> tuple[bytes, int] | None:
@@ -123,9 +135,9 @@ def decode(window: Window) -> tuple[bytes, int] | None:
     unpacker, out, used, known = zlib.decompressobj(31), [], 0, b""
     try:
         while not unpacker.eof:
-            if used == len(window.data) and not window.more():
+            if used == window.left() and not window.more():
                 return None
-            piece = window.data[used : used + (64 << 10)]
+            piece = bytes(window.data[window.skip + used : window.skip + used + (64 << 10)])
             used += len(piece)
             out.append(unpacker.decompress(piece))
             if len(known) < 5:
@@ -141,13 +153,13 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) of the members that start in [start, end)."""
     window = Window(file, start)
     while window.at < end:
-        found = window.data.find(MAGIC)
+        found = window.data.find(MAGIC, window.skip)
         if found < 0:
-            window.drop(max(0, len(window.data) - 2))
+            window.drop(max(0, window.left() - 2))
             if not window.more():
                 return
             continue
-        window.drop(found)
+        window.drop(found - window.skip)
         if window.at >= end:
             return
         got = decode(window)
@@ -180,6 +192,9 @@ def reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, size = [], 0
                 for offset, record in members(file, start, end):
                     h, http, payload = parse(record)
+                    digest = f"sha1:{base32_sha1(payload)}"
+                    if h.get("warc-type") == "response" and h.get("warc-payload-digest", digest) != digest:
+                        continue
                     rows.append((archive, offset, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), http.decode("utf-8", "replace"), payload))
                     size += len(payload)
                     if size > BLOCK:
@@ -204,12 +219,14 @@ def page_records(records: DataFrame) -> DataFrame:
     def page(column: str):
         return F.expr(f"try_cast(nullif(substring({column}, 19, length({column}) - 19), '') as bigint)")
 
-    length = F.regexp_extract("http", r"(?i)Content-Length: (\d+)", 1).cast("long")
+    # a revisit holds no payload: its length and digest are those that its headers state
+    stated = F.regexp_extract("http", r"(?i)Content-Length: (\d+)", 1).cast("long")
+    length = F.when(F.col("type") == "response", F.octet_length("payload").cast("long")).otherwise(stated)
     return records.select(page("record_id").alias("page_id"), length.alias("payload_bytes"), F.expr("substring(digest, 6)").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/keyloom/warc-{uuid.uuid4().hex}")
+    archives = write_archives(table(spark, sf_dir, "pages"), f"{run_dir(spark)}/warc-{uuid.uuid4().hex}")
     return page_records(read_archives(archives))
 
 

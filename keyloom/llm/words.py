@@ -97,7 +97,8 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int, short: bool = True) -> tu
     word = np.arange(len(h))
     acc = h * M1 + M3
     for j in range(1, k):
-        acc[: len(h) - j] = fmix(acc[: len(h) - j] * M1 + h[j:])
+        m = max(0, len(h) - j)
+        acc[:m] = fmix(acc[:m] * M1 + h[j:])
     keep = word + k <= first[1:][text] if len(text) else np.zeros(0, bool)
     out, at, of = acc[keep], word[keep], text[keep]
     if short and k > 1:
