@@ -6,8 +6,11 @@ benchmark     documents that hold a window of a benchmark item go
 pii           personal data becomes surrogates; n_chars follows the new text
 mixture       words taken of each document so that sources reach their target weights
 
-Every stage but the last returns the columns of documents. Rows that are equal in all columns get equal
-decisions; a null doc_id is kept like any other.
+Every stage but the last returns the columns of documents; further columns are ignored, whatever their
+names. Null and empty texts pass all stages and count 0 words. Texts of any length are read whole.
+Rows that are equal in all columns get equal decisions, and of equal rows with words one stays; of rows
+that share the smallest doc_id of a group the one of the smallest row key stays; a null doc_id comes
+last. Empty tables give no rows; without labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, jaccard, mixing, pii, toxicity
-from keyloom.llm.common import materialize, table
+from keyloom.llm.common import materialize, row_key, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,14 +32,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard.near_duplicates(docs).where("doc_id <=> component_id").select("key").distinct()
-    kept = materialize(kept, "kept")
-    rows = docs.select(*COLUMNS).withColumn("key", F.xxhash64("doc_id", "text"))
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key", "doc_id", "text"]).drop("key")
+    return jaccard.without_copies(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(*COLUMNS).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(*COLUMNS).withColumn("key", row_key("text"))
     found = decontaminate.report(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = materialize(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "hit")
     return rows.join(hit, "key", "left_anti").drop("key")
