@@ -84,15 +84,16 @@ def row_id() -> Column:
     return F.monotonically_increasing_id().alias("uid")
 
 
-def bit_filter(df: DataFrame, column: str, bits: int = 25):
-    """Broadcast a bitmap of 2**bits bits (4 MB at 25, whatever the input) of the hashes in `column`.
+def bit_filter(df: DataFrame, column: str, bits: int = 25, shifts: tuple[int, ...] = (0,)):
+    """Broadcast a bitmap of 2**bits bits (4 MB at 25, whatever the input) of the hashes in `column`; each sets the bit that its digits from every shift on name.
 
     A membership test on it has no false negatives, so it only spares a shuffle work; with more
     hashes than bits it passes everything on and the exact joins behind it do all the work.
     """
-    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    places = F.array(*[F.shiftright(F.col(column), s).bitwiseAND(F.lit((1 << bits) - 1)) for s in shifts])
     rows = (
-        df.select(F.shiftright(low, 15).alias("bucket"), low.bitwiseAND(F.lit(32767)).alias("bit"))
+        df.select((F.explode(places) if len(shifts) > 1 else places[0]).alias("low"))
+        .select(F.shiftright("low", 15).alias("bucket"), F.col("low").bitwiseAND(F.lit(32767)).alias("bit"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
         .collect()  # at most 2**(bits - 15) rows of 4 KB
@@ -103,9 +104,12 @@ def bit_filter(df: DataFrame, column: str, bits: int = 25):
     return df.sparkSession.sparkContext.broadcast(found)
 
 
-def in_filter(found: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h & np.uint64(len(found) * 8 - 1)
-    return (found[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+def in_filter(found: np.ndarray, h: np.ndarray, shifts: tuple[int, ...] = (0,)) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for s in shifts:
+        low = (h >> np.uint64(s)) & np.uint64(len(found) * 8 - 1)
+        out &= (found[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
