@@ -156,6 +156,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     every = bit_filter(tokens.select("token").distinct(), "token", BITS)
     seen = docs.select("text").mapInArrow(counts_of(every), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = materialize(tokens.join(seen, "token"), "counted")  # tokens in no document need no row: their windows occur nowhere
+    every.destroy()
     # A window is the tokens at at..at+need-k of its item; its rarest token is chosen, the leftmost of equally rare ones.
     token = counted.select("row", "item_words", "at", "k", "need", "n", "token").distinct()
     windows = token.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("need") + F.col("k")), F.least(F.col("at"), F.col("item_words") - F.col("need")))))
@@ -165,6 +166,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     rare = bit_filter(prefix.select("token").distinct(), "token", BITS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = materialize(docs.mapInArrow(occurrences(rare, window), f"doc_id {kind}, n_words long, hits array<struct<token:long,at:int,left:int,around:array<string>>>").select(row_id(), "*"), "occurrences")
+    rare.destroy()
     hit = found.select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
     joined = hit.join(prefix.select("token", "item", "k", "need", F.col("left").alias("il"), F.col("around").alias("words")), "token")
     # the length bound and the positional bounds: both sides have room for a window around the token, to the left and to the right

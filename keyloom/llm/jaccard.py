@@ -198,7 +198,9 @@ def class_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Step 1: doc_id, key, n_shingles, class of every row, and the tokens of those that may have a partner."""
     counted = docs.select("text").mapInArrow(filter_tokens(k, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 2")
     shared = bit_filter(counted.select("token"), "token", BITS)
-    return materialize(docs.mapInArrow(classes_of(shared, k, percent), "doc_id long, key binary, n_shingles long, class binary, tokens binary"), "classes")
+    out = materialize(docs.mapInArrow(classes_of(shared, k, percent), "doc_id long, key binary, n_shingles long, class binary, tokens binary"), "classes")
+    shared.destroy()
+    return out
 
 
 def candidate_sets(rows: DataFrame) -> DataFrame:

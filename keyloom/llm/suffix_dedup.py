@@ -303,6 +303,7 @@ def repeated_spans(docs: DataFrame, length: int, most: int) -> tuple[DataFrame,
     hashes = counted_hashes(docs, length)
     found = bit_filter(hashes, "hash", BITS)
     texts = materialize(docs.mapInArrow(second_scan(found, length), "doc_id long, n_bytes long, sha256 string, text binary, stretches array<struct<hash:long,content:long,start:int,n:int>>").select(row_id(), "*"), "texts")
+    found.destroy()
     rows = texts.select("uid", F.explode("stretches").alias("s")).select("uid", "s.*").join(hashes, "hash")
     rows = materialize(rows, "stretches")
     discard(hashes)

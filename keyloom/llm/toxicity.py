@@ -213,7 +213,7 @@ def encodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, languages = [], []
         for a, b, buckets, first, language in encoded(batch.column(1)):
-            ids += [buckets[x:y].tobytes() for x, y in zip(first, first[1:])]
+            ids += [buckets[x:y].astype(np.int16).tobytes() for x, y in zip(first, first[1:])]
             languages += language.tolist()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(languages, pa.int32()), batch.column(2)], ["doc_id", "ids", "language", "label"])
 
@@ -225,12 +225,12 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", divisor:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = own(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.xxhash64("ids")]
-    some = rows.mapInArrow(encodes, "doc_id long, ids binary, language int, label int").where(F.length("ids") <= 4 * (1 + len(STEMS)) * words).orderBy(*order).limit(sample)
+    some = rows.mapInArrow(encodes, "doc_id long, ids binary, language int, label int").where(F.length("ids") <= 2 * (1 + len(STEMS)) * words).orderBy(*order).limit(sample)
     so_far = F.sum(F.length("ids")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of at most `sample` rows
-    got = some.withColumn("so_far", so_far).where(F.col("so_far") <= 4 * (1 + len(STEMS)) * words).select("ids", "language", "label").toArrow()
+    got = some.withColumn("so_far", so_far).where(F.col("so_far") <= 2 * (1 + len(STEMS)) * words).select("ids", "language", "label").toArrow()
     if not got.num_rows:
         return None
-    texts = [np.frombuffer(b.as_buffer(), np.int32).reshape(-1, 1 + len(STEMS)) for b in got.column("ids")]
+    texts = [np.frombuffer(b.as_buffer(), np.int16).astype(np.int32).reshape(-1, 1 + len(STEMS)) for b in got.column("ids")]
     return train(texts, got.column("label").to_numpy().astype(np.float32), got.column("language").to_numpy())
 
 
