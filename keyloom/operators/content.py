@@ -26,8 +26,9 @@ def boundaries(data: np.ndarray, least: int, average: int, most: int) -> list[in
     n = len(data)
     values = (np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15)) * np.uint64(0xC4CEB9FE1A85EC53)
     v = values[data] >> np.uint64(11)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * np.arange(1, n + 1, dtype=np.uint64) ** np.uint64(0))])
-    rolled = (sums[32:] - sums[:-32]) * np.uint64(0x9E3779B97F4A7C15) if n >= 32 else np.zeros(0, np.uint64)
+    rolled = np.zeros(max(0, n - 31), np.uint64)
+    for i in range(32 if n >= 32 else 0):  # a polynomial of the 32 values: their order counts
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + v[i : n - 31 + i]
     cuts = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(max(1, average - least)) == 0) + 32
     ends, at = [], 0
     while n - at > most or (n - at > least and at < n):
@@ -49,12 +50,14 @@ def chunk_cdc(rows: DataFrame, key: str, content: str, small: int = SMALL, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for k, c in zip(batch.column(0), batch.column(1)):
                 raw = c.as_py() or b""
                 top = max(1, min(len(raw), most))
                 ends = [len(raw)] if len(raw) < small else boundaries(np.frombuffer(raw, np.uint8), max(1, top // 4), max(2, top // 2), top)
                 starts = [0, *ends[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(ends), pa.string()), pa.array(range(len(ends)), pa.int32()), pa.array([raw[a:b] for a, b in zip(starts, ends)], pa.binary())], ["key", "i", "chunk"])
+                rows += [(k.as_py(), i, raw[a:b]) for i, (a, b) in enumerate(zip(starts, ends))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int32(), pa.binary()))], ["key", "i", "chunk"])
 
     cut = rows.select(F.col(key).cast("string").alias("key"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "key string, i int, chunk binary")
     return cut.withColumn("length", F.length("chunk"))
@@ -67,9 +70,12 @@ def store_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reassemble(chunks: DataFrame, key: str, chunk: str = "chunk") -> DataFrame:
-    """key, text: chunks in order of i."""
+    """key, text: chunks in order of i, of the chunks' own type (string or binary)."""
     ordered = F.array_sort(F.collect_list(F.struct("i", F.col(chunk).alias("c"))))
-    return chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["c"].cast("string")), "").alias("text"))
+    kind = chunks.schema[chunk].dataType.simpleString()
+    parts = F.transform(ordered, lambda x: x["c"])
+    whole = F.array_join(parts, "") if kind == "string" else F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+    return chunks.groupBy(key).agg(whole.alias("text"))
 
 
 def read_range(chunks: DataFrame, key: str, start: int, length: int) -> DataFrame:

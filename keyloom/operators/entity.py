@@ -15,6 +15,16 @@ from pyspark.sql.window import Window
 from keyloom.functions.hashing import content_hash, key_text
 
 
+def minus(a: DataFrame, b: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows of a that b doesn't hold, compared in columns (all of a's), nulls included; repeated rows of a stay."""
+    columns = columns or a.columns
+    other = b.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    match = F.lit(True)
+    for c in columns:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(other, match, "left_anti")
+
+
 class BeingReferred(RuntimeError):
     """A key can't be deleted: others refer to it."""
 
@@ -75,7 +85,40 @@ def delete_summary_index(summaries: DataFrame, gone: DataFrame) -> DataFrame:
     """Index rows to delete when the entities `gone` (key) go: a sub-value's rows stay while another entity embeds it."""
     lost = index_rows(summaries.join(gone, "key", "left_semi"))
     kept = index_rows(summaries.join(gone, "key", "left_anti"))
-    return lost.join(kept, ["idx", "fields", "key"], "left_anti")
+    return minus(lost, kept)
+
+
+def summarize(entities: DataFrame) -> DataFrame:
+    """Entities (ns, hash, type, name, version, refs: array of keys) with `key` and the key of their summary, whose hash covers all that is indexed."""
+    refs = F.array_sort(F.array_distinct(F.coalesce("refs", F.array().cast("array<string>"))))
+    rows = entities.withColumns({"key": key_text("ns", "hash"), "refs": refs})
+    return rows.withColumn("summary", key_text(F.lit("c-sumary"), content_hash("key", "type", "name", F.col("version").cast("string"), F.array_join("refs", ","))))
+
+
+def entity_index(summaries: DataFrame) -> DataFrame:
+    """The built-in index rows (idx, field, key) that summaries imply: type, name and version of each entity, the two
+    directions between it and its summary, and between whatever refers and is referred to. Seven for an entity with a
+    name and without references. The key-first rows are the same with field and key swapped, so none are stored."""
+    row = lambda idx, f, k: F.struct(F.lit(idx).alias("idx"), f.cast("string").alias("field"), k.alias("key"))
+    key, summary = F.col("key"), F.col("summary")
+    one = F.array(row("type", F.col("type"), key), row("name", F.col("name"), key), row("version", F.col("version"), key), row("summary_key", key, summary), row("summary_of", summary, key), row("refer_to", summary, key), row("refered_by", key, summary))
+    each = F.flatten(F.transform("refs", lambda r: F.array(row("refer_to", key, r), row("refered_by", r, key))))
+    return summaries.select(F.inline(F.concat(one, each))).where("field is not null").distinct()
+
+
+def save(held: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Save entities (ns, payload, type, name, version, refs) over the summaries held so far.
+
+    Returns (objects to append: ns, hash, payload; summaries after it; index changes: idx, field, key, change). The newest summary of an entity
+    replaces its older ones, common index rows are not touched, and saving the same again changes nothing.
+    """
+    rows = summarize(new.withColumn("hash", F.sha2("payload", 256)))
+    latest_ = rows.drop("payload").dropDuplicates(["key", "summary"])
+    old = latest_.where("false") if held is None else held
+    objects = rows.select("ns", "hash", "payload").dropDuplicates(["ns", "hash"]).join(old.select("ns", "hash"), ["ns", "hash"], "left_anti")
+    after = old.join(latest_.select("key"), "key", "left_anti").select(*latest_.columns).unionByName(latest_)
+    touched = old.join(latest_.select("key"), "key", "left_semi")
+    return objects, after, index_diff(entity_index(touched), entity_index(latest_))
 
 
 def latest(rows: DataFrame, key: str, *newest_first: Column) -> DataFrame:
@@ -92,17 +135,17 @@ def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def apply_diff(index: DataFrame, diff: DataFrame) -> DataFrame:
     columns = index.columns
     gone, come = (diff.where(F.col("change") == c).select(*columns) for c in ("del", "add"))
-    return index.join(gone, columns, "left_anti").unionByName(come).distinct()
+    return minus(index, gone).unionByName(come).distinct()
 
 
 def index_gc(actual: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Index rows that no summary implies."""
-    return actual.join(rebuilt, actual.columns, "left_anti")
+    return minus(actual, rebuilt)
 
 
 def clean_index(entries: DataFrame, keys: list[str], objects: DataFrame) -> DataFrame:
-    """Entries in which any of the key columns leads to no object. objects: key."""
-    tagged = entries.select("*", F.explode(F.array(*keys)).alias("_k"))
+    """Entries in which any of the key columns leads to no object; a null refers to nothing. objects: key."""
+    tagged = entries.select("*", F.explode(F.array(*keys)).alias("_k")).where("_k is not null")
     return tagged.join(objects.select(F.col("key").alias("_k")), "_k", "left_anti").drop("_k").distinct()
 
 

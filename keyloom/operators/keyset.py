@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keyloom.operators.entity import minus
+
 PACK = 48
 RANGE = 4096
 
@@ -15,11 +19,11 @@ def add(keys: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def delete(keys: DataFrame, gone: DataFrame) -> DataFrame:
-    return keys.join(gone, keys.columns, "left_anti")
+    return minus(keys, gone)
 
 
 def has(probe: DataFrame, keys: DataFrame) -> DataFrame:
-    return probe.join(keys, keys.columns, "left_semi")
+    return probe.join(keys.select(*[F.col(c).alias(f"_{c}") for c in keys.columns]), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys.columns]), "left_semi")
 
 
 def iterate(keys: DataFrame) -> DataFrame:

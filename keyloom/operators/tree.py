@@ -138,6 +138,14 @@ def pack(tree: DataFrame, threshold: int = PACK) -> DataFrame:
     return packs.where(F.col("n") == threshold).withColumn("height", F.lit(2))
 
 
+def upsert(tree: DataFrame, new: DataFrame) -> DataFrame:
+    """tree with the nodes of new put into their directories: a node of the same path is replaced."""
+    rows = tree.withColumn("_old", F.lit(1)).unionByName(new.withColumn("_old", F.lit(0)))
+    every = [c for c in tree.columns if c != "path"]
+    picked = rows.groupBy("path").agg(F.min_by(F.struct(*every), "_old").alias("n"))
+    return picked.select("path", "n.*").select(*tree.columns)
+
+
 def without_ignored(tree: DataFrame, ignored: DataFrame) -> DataFrame:
     """tree without the paths in ignored (path) and all below them."""
     gone = ignored.select(F.col("path").alias("above"))

@@ -139,21 +139,23 @@ def embedded_by(spark, d):
     return entity.embedded_by(lines.select(model.node("orders", "l_orderkey").alias("key"), F.array(model.node("part", "l_partkey")).alias("path")))
 
 
-@query("""SELECT DISTINCT 'shape' AS idx, p_brand AS fields, 'part:' || l_partkey AS key FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 = 0
-AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 <> 0)""")
+@query("""SELECT DISTINCT 'shape' AS idx, p_brand AS fields, 'part:' || l_partkey AS key FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 50 <> 0
+AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0)""")
 def last_embedder(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     summaries = rows.select(model.node("orders", "l_orderkey").alias("key"), F.array(model.node("part", "l_partkey")).alias("path"), F.lit("shape").alias("idx"), F.col("p_brand").alias("fields"))
-    gone = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(model.node("orders", "l_orderkey").alias("key")).distinct()
+    gone = table(spark, d, "lineitem").where("l_orderkey % 50 <> 0").select(model.node("orders", "l_orderkey").alias("key")).distinct()
     return entity.delete_summary_index(summaries, gone)
 
 
-@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS surplus, count(*) AS n FROM part")
+@query("SELECT count(*) FILTER (p_partkey % 5 = 0 OR p_partkey % 7 = 0) AS missing, count(*) FILTER (p_partkey % 7 = 0 AND p_partkey % 5 <> 0) AS surplus, count(*) FILTER (p_partkey % 5 <> 0) AS n FROM part")
 def rebuild_equals_live(spark, d):
-    live = index.save(PART_INDEX, table(spark, d, "part").withColumn("key", model.part_key()))
+    """What a rebuilt index has more and less than a live one that lost rows and kept outdated ones."""
+    size = F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 100).otherwise(F.col("p_size"))
+    live = index.save(PART_INDEX, table(spark, d, "part").where("p_partkey % 5 <> 0").withColumn("p_size", size).withColumn("key", model.part_key()))
     again = model.part_index(spark, d)
     n = live.agg(F.count("*").alias("n"))
-    return n.join(again.exceptAll(live).agg(F.count("*").alias("missing"))).join(live.exceptAll(again).agg(F.count("*").alias("surplus")))
+    return n.join(entity.minus(again, live).agg(F.count("*").alias("missing"))).join(entity.minus(live, again).agg(F.count("*").alias("surplus")))
 
 
 @query("""WITH o AS (SELECT p_brand, p_size, 'part:' || p_partkey AS key FROM part WHERE p_partkey % 4 <> 0), n AS (SELECT p_brand, p_size + (p_partkey % 10 = 3)::INT AS p_size, 'part:' || p_partkey AS key FROM part)
@@ -165,16 +167,18 @@ def index_diff_on_resave(spark, d):
     return entity.index_diff(old, new)
 
 
-@query("SELECT p_brand, p_type, p_size, 'part:' || p_partkey AS key FROM part WHERE p_size > 20 AND p_partkey % 3 = 0")
+@query("SELECT CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS p_brand, p_type, p_size, 'part:' || p_partkey AS key FROM part WHERE p_size > 20 AND p_partkey % 3 = 0")
 def index_gc(spark, d):
-    live = model.part_index(spark, d).drop("store_id")
-    rebuilt = table(spark, d, "part").where("not (p_size > 20 and p_partkey % 3 = 0)").select("p_brand", "p_type", "p_size", model.part_key().alias("key"))
+    brand = F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")).alias("p_brand")  # null in every eleventh row, live ones too
+    live = table(spark, d, "part").select(brand, "p_type", "p_size", model.part_key().alias("key"))
+    rebuilt = table(spark, d, "part").where("not (p_size > 20 and p_partkey % 3 = 0)").select(brand, "p_type", "p_size", model.part_key().alias("key"))
     return entity.index_gc(live, rebuilt)
 
 
-@query("SELECT 'orders:' || o_orderkey AS key, 'customer:' || o_custkey AS customer FROM orders WHERE o_custkey % 13 = 0 OR o_orderkey % 17 = 0")
+@query("SELECT 'orders:' || o_orderkey AS key, CASE WHEN o_orderkey % 19 <> 0 THEN 'customer:' || o_custkey END AS customer FROM orders WHERE o_custkey % 13 = 0 AND o_orderkey % 19 <> 0 OR o_orderkey % 17 = 0")
 def clean_index(spark, d):
-    entries = table(spark, d, "orders").select(model.node("orders", "o_orderkey").alias("key"), model.node("customer", "o_custkey").alias("customer"))
+    customer = F.when(F.col("o_orderkey") % 19 != 0, model.node("customer", "o_custkey"))  # a null refers to nothing
+    entries = table(spark, d, "orders").select(model.node("orders", "o_orderkey").alias("key"), customer.alias("customer"))
     objects = model.nodes(spark, d, "orders", "customer").withColumn("n", F.split("node", ":")[1].cast("long"))
     objects = objects.where("not (node like 'orders:%' and n % 17 = 0) and not (node like 'customer:%' and n % 13 = 0)").select(F.col("node").alias("key"))
     return entity.clean_index(entries, ["key", "customer"], objects)
@@ -222,6 +226,53 @@ def push_plan(spark, d):
     return graph.push(roots, model.edges(spark, d), there)
 
 
+@query(f"{REACH} SELECT 'part:' || p_partkey AS node, p_size AS size FROM part WHERE 'part:' || p_partkey IN (SELECT node FROM r) OR p_partkey % 2 = 0")
+def gc_sweep(spark, d):
+    """Parts after a sweep whose candidates are the odd ones: an even part isn't in the summary index, so it stays."""
+    roots = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(model.node("orders", "o_orderkey").alias("node"))
+    parts = table(spark, d, "part").select(model.part_key().alias("node"), F.col("p_size").alias("size"), "p_partkey")
+    return graph.sweep(parts.drop("p_partkey"), parts.where("p_partkey % 2 = 1").select("node"), roots, model.edges(spark, d))
+
+
+@query("""WITH c AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE c_custkey % 7 = 0)
+SELECT DISTINCT node FROM (SELECT 'customer:' || c_custkey AS node FROM c UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_nationkey < 5 OR n_nationkey IN (SELECT c_nationkey FROM c)
+UNION ALL SELECT 'region:' || n_regionkey FROM nation WHERE n_nationkey >= 5 AND n_nationkey IN (SELECT c_nationkey FROM c))""")
+def push_copy(spark, d):
+    """A destination with five nations after every seventh customer was pushed: what those nations refer to is not looked into."""
+    source = model.nodes(spark, d, "customer", "nation", "region")
+    there = table(spark, d, "nation").where("n_nationkey < 5").select(model.node("nation", "n_nationkey").alias("node"))
+    roots = table(spark, d, "customer").where("c_custkey % 7 = 0").select(model.node("customer", "c_custkey").alias("node"))
+    return graph.copy(source, there, roots, model.edges(spark, d, "customer", "nation")).distinct()
+
+
+SAVED = """WITH e AS (SELECT 'orders:' || sha256(o_orderkey::VARCHAR) AS key, 'order-' || o_orderkey AS name, 'customer:' || o_custkey AS ref FROM orders),
+s AS (SELECT *, 'c-sumary:' || sha256(concat_ws('|', key, 'order', name, '1', ref)) AS summary FROM e)"""
+
+
+def _orders_as_entities(spark, d):
+    return table(spark, d, "orders").select(F.lit("orders").alias("ns"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("payload"), F.lit("order").alias("type"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("name"), F.lit(1).alias("version"), F.array(model.node("customer", "o_custkey")).alias("refs"), "o_orderkey")
+
+
+@query(f"""{SAVED} SELECT DISTINCT * FROM (SELECT 'type' AS idx, 'order' AS field, key FROM s UNION ALL SELECT 'name', name, key FROM s UNION ALL SELECT 'version', '1', key FROM s
+UNION ALL SELECT 'summary_key', key, summary FROM s UNION ALL SELECT 'summary_of', summary, key FROM s UNION ALL SELECT 'refer_to', summary, key FROM s UNION ALL SELECT 'refered_by', key, summary FROM s
+UNION ALL SELECT 'refer_to', key, ref FROM s UNION ALL SELECT 'refered_by', ref, key FROM s)""")
+def save_index(spark, d):
+    """All built-in index rows of the orders saved as entities."""
+    _, _, changes = entity.save(None, _orders_as_entities(spark, d).drop("o_orderkey"))
+    return changes.select("idx", "field", "key")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) AS objects, count(*) AS summaries, (SELECT count(*) FILTER (o_orderkey % 4 = 0) * 9 + count(*) FILTER (o_orderkey % 4 <> 0 AND o_orderkey % 6 = 0) * 5 FROM orders) AS added, (SELECT count(*) FILTER (o_orderkey % 4 <> 0 AND o_orderkey % 6 = 0) * 5 FROM orders) AS deleted FROM orders")
+def save_again(spark, d):
+    """Orders saved over three quarters of them, every sixth of another version: a changed one gets a new summary, and with it the four rows that name the summary and its version row; the others change nothing."""
+    rows = _orders_as_entities(spark, d)
+    _, held, _ = entity.save(None, rows.where("o_orderkey % 4 <> 0").drop("o_orderkey"))
+    version = F.when(F.col("o_orderkey") % 6 == 0, F.lit(2)).otherwise(F.lit(1))
+    objects, after, changes = entity.save(held, rows.withColumn("version", version).drop("o_orderkey"))
+    count = changes.agg(F.count_if(F.col("change") == "add").alias("added"), F.count_if(F.col("change") == "del").alias("deleted"))
+    return objects.agg(F.count("*").alias("objects")).join(after.agg(F.count("*").alias("summaries"))).join(count)
+
+
 @query("SELECT DISTINCT 'document' AS ns, sha256(text) AS hash, sha256(text || '!') AS found FROM documents WHERE doc_id % 97 = 0")
 def scrub_bad(spark, d):
     docs = model.documents_with_hash(spark, d)
@@ -312,6 +363,11 @@ def tree_children(spark, d):
     return tree.children(b, "Brand#1").unionByName(tree.find(b, "Brand#1/SMALL")).distinct()
 
 
+@query(f"{STATES} SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NOT NULL THEN b.is_dir ELSE a.is_dir END AS is_dir, coalesce(b.size, a.size) AS size FROM a FULL JOIN b ON a.path = b.path")
+def tree_upsert(spark, d):
+    return tree.upsert(*model.snapshots(spark, d))
+
+
 @query("""WITH r AS (SELECT p_brand || '/' || p_type AS dir, 'p' || p_partkey AS name, p_size, (row_number() OVER (PARTITION BY p_brand, p_type ORDER BY 'p' || p_partkey) - 1) // 4 AS pack FROM part)
 SELECT dir, pack::BIGINT AS pack, min(name) AS min, max(name) AS max, sum(p_size)::BIGINT AS size, count(*) AS n, 2 AS height FROM r GROUP BY dir, pack HAVING count(*) = 4""")
 def tree_pack(spark, d):

@@ -11,6 +11,12 @@ from keyloom.functions import paths
 from keyloom.operators import tree
 
 
+def below(root: str):
+    """The path of a file relative to root, without a leading slash; a path begins with its root, so the first occurrence is it."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    return F.ltrim(F.substring(F.col("path"), F.instr("path", base) + F.lit(len(base)), F.length("path")), F.lit("/"))
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), restricted: list[str] = ()) -> DataFrame:
     """Files below root: path (relative), is_dir, size, mode, mod_time, and directories above them.
 
@@ -18,9 +24,7 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = (), restricted: lis
     restricted: paths that are left out with all below them.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})")
-    files = found.select(relative.alias("path"), F.col("length").alias("size"), F.lit(0).cast("long").alias("mode"), F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
+    files = found.select(below(root).alias("path"), F.col("length").alias("size"), F.lit(0).cast("long").alias("mode"), F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
     files = files.where(~paths.ignored("path", list(ignore)))
     if restricted:
         files = tree.without_ignored(files, spark.createDataFrame([(p,) for p in restricted], "path string"))
@@ -29,9 +33,8 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = (), restricted: lis
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content, content_hash of the files below root."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.select(F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})").alias("path"), "content", F.sha2("content", 256).alias("content_hash"))
+    return found.select(below(root).alias("path"), "content", F.sha2("content", 256).alias("content_hash"))
 
 
 def read_file(tree_rows: DataFrame, path: str) -> bytes:

@@ -1,8 +1,8 @@
 """Object stores on Parquet: (ns, hash, payload), partitioned by namespace, and compositions of them.
 
-A store is a folder of batches and manifests. A manifest names the batches that are live; publishing one
-is a single rename, so readers see all of a commit or nothing, and a batch whose commit never came is
-ignored. One writer at a time.
+A store is a folder of batches, tombstones and manifests. A manifest is one file that names, in order, the
+batches and tombstones that are live; it is created only if no file of its number exists, so of two writers
+that saw the same state one fails and nothing is lost in silence. A batch whose commit never came is ignored.
 """
 
 from __future__ import annotations
@@ -56,17 +56,19 @@ class ParquetStore:
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()) if fs.exists(folder) else []
 
     def batches(self) -> list[str]:
-        """Live batches of the newest manifest."""
+        """What the newest manifest names: batches, and tombstones with a leading minus."""
         found = self.manifests()
         return json.loads(self.spark.read.text(f"{self.folder}/manifests/{found[-1]}", wholetext=True).first()[0]) if found else []
 
-    def publish(self, batches: list[str]) -> None:
-        """Make batches the live ones: write the manifest aside, then rename it into place."""
-        version = (self.manifests() or [0])[-1] + 1
-        aside = f"manifests/.{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(batches),)], "value string").coalesce(1).write.text(f"{self.folder}/{aside}")
-        if not self._fs().rename(self._path(aside), self._path(f"manifests/{version}")):
-            raise RuntimeError(f"manifest {version} was published by another writer")
+    def publish(self, batches: list[str], seen: int | None = None) -> None:
+        """Make batches the live ones, as the manifest after number `seen` (the newest now). Fails if another writer made that one."""
+        version = ((self.manifests() or [0])[-1] if seen is None else seen) + 1
+        try:
+            out = self._fs().create(self._path(f"manifests/{version}"), False)
+        except Exception as e:
+            raise RuntimeError(f"manifest {version} was published by another writer") from e
+        out.write(bytearray(json.dumps(batches).encode()))
+        out.close()
 
     def id(self) -> str:
         """A stable identity, made when first asked for."""
@@ -76,11 +78,23 @@ class ParquetStore:
         return self.spark.read.text(path).first()[0]
 
     def stored(self) -> DataFrame:
-        """ns, hash, payload as stored (encoded)."""
+        """ns, hash, payload as stored (encoded): a tombstone takes keys out of the batches before it."""
         if not self.readable:
             raise ReadDisabled(self.folder)
-        live = [f"{self.folder}/batches/{b}" for b in self.batches()]
-        return self.spark.read.schema(SCHEMA).option("basePath", f"{self.folder}/batches").parquet(*live) if live else self.spark.createDataFrame([], SCHEMA)
+        out, run = self.spark.createDataFrame([], SCHEMA), []
+
+        def read(names: list[str]) -> DataFrame:
+            live = [f"{self.folder}/batches/batch={b}" for b in names]
+            return self.spark.read.schema(SCHEMA).option("basePath", f"{self.folder}/batches").parquet(*live).select("ns", "hash", "payload")
+
+        for name in self.batches():
+            if not name.startswith("-"):
+                run.append(name)
+                continue
+            out = out.unionByName(read(run)) if run else out
+            gone, run = self.spark.read.schema("ns string, hash string").parquet(f"{self.folder}/gone/{name[1:]}"), []
+            out = out.join(gone, KEY, "left_anti")
+        return out.unionByName(read(run)) if run else out
 
     def objects(self) -> DataFrame:
         return self.stored().withColumn("payload", self.codec.decode(F.col("payload")))
@@ -90,20 +104,19 @@ class ParquetStore:
         if not self.writable:
             raise WriteDisabled(self.folder)
         name = uuid.uuid4().hex
-        objects.select("ns", "hash", self.codec.encode(F.col("payload")).alias("payload")).write.partitionBy("ns").parquet(f"{self.folder}/batches/{name}")
+        objects.select("ns", "hash", self.codec.encode(F.col("payload")).alias("payload")).write.partitionBy("ns").parquet(f"{self.folder}/batches/batch={name}")
         return name
 
     def write(self, objects: DataFrame) -> DataFrame:
         """Add objects (ns, payload); returns ns, hash, written of each key offered. Keys that are there are not written again."""
+        before, seen = self.batches(), (self.manifests() or [0])[-1]
         hashed = objects.select("ns", F.sha2("payload", 256).alias("hash"), "payload")
-        new = write_if_absent(self.objects().select(*KEY), hashed).persist()
-        known = self.objects().select(*KEY).withColumn("was", F.lit(True))
-        result = hashed.select(*KEY).distinct().join(known, KEY, "left").select(*KEY, F.col("was").isNull().alias("written")).persist()
-        result.count()
-        if not new.isEmpty():
-            self.publish([*self.batches(), self.append(new)])
-        new.unpersist()
-        return result
+        known = self.stored().select(*KEY)
+        name = self.append(write_if_absent(known, hashed))
+        added = self.spark.read.schema(SCHEMA).option("basePath", f"{self.folder}/batches").parquet(f"{self.folder}/batches/batch={name}").select(*KEY)
+        if not added.isEmpty():
+            self.publish([*before, name], seen)
+        return hashed.select(*KEY).distinct().join(added.withColumn("new", F.lit(True)), KEY, "left").select(*KEY, F.col("new").isNotNull().alias("written"))
 
     def read(self, keys: DataFrame) -> DataFrame:
         """Payloads of keys (ns, hash). A missing key is KeyNotFound, a payload of another hash KeyNotMatch."""
@@ -116,17 +129,22 @@ class ParquetStore:
     def exists(self, keys: DataFrame) -> DataFrame:
         return keys.join(self.stored().select(*KEY), KEY, "left_semi")
 
-    def keys(self, ns: str | None = None) -> DataFrame:
-        """Keys of a namespace (the others' partitions are not read), or all."""
-        rows = self.stored().select(*KEY)
+    def keys(self, ns: str | None = None, prefix: str = "") -> DataFrame:
+        """Keys of a namespace (the others' partitions are not read), or all; of them those whose hash begins with prefix."""
+        rows = self.stored().select(*KEY).where(F.col("hash").startswith(prefix))
         return rows if ns is None else rows.where(F.col("ns") == ns)
 
     def delete(self, keys: DataFrame) -> None:
-        """Rewrite what is left; keys that aren't there change nothing."""
-        left = self.stored().join(keys.select(*KEY), KEY, "left_anti")
-        name = uuid.uuid4().hex
-        left.write.partitionBy("ns").parquet(f"{self.folder}/batches/{name}")
-        self.publish([name])
+        """Write a tombstone for keys; payloads stay until compact(). Keys that aren't there change nothing."""
+        before, seen, name = self.batches(), (self.manifests() or [0])[-1], uuid.uuid4().hex
+        keys.select(*KEY).distinct().write.parquet(f"{self.folder}/gone/{name}")
+        self.publish([*before, f"-{name}"], seen)
+
+    def compact(self) -> None:
+        """Rewrite what is live as one batch."""
+        seen, name = (self.manifests() or [0])[-1], uuid.uuid4().hex
+        self.stored().write.partitionBy("ns").parquet(f"{self.folder}/batches/batch={name}")
+        self.publish([name], seen)
 
     def scrub(self) -> DataFrame:
         return scrub(self.objects())
@@ -142,7 +160,7 @@ class Transaction:
     def objects(self) -> DataFrame:
         out = self.store.objects()
         for b in self.staged:
-            part = self.store.spark.read.schema(SCHEMA).parquet(f"{self.store.folder}/batches/{b}")
+            part = self.store.spark.read.schema(SCHEMA).parquet(f"{self.store.folder}/batches/batch={b}")
             out = out.unionByName(part.withColumn("payload", self.store.codec.decode(F.col("payload"))))
         return out
 
@@ -184,6 +202,14 @@ def sharded_keys(default: DataFrame, shards: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def sharded_read(keys: DataFrame, default: DataFrame, shards: dict[str, DataFrame]) -> DataFrame:
+    """ns, hash, payload of keys: a namespace with a shard is read there, any other from the default store."""
+    out = default.where(~F.col("ns").isin(sorted(shards))) if shards else default
+    for ns, rows in shards.items():
+        out = out.unionByName(rows.where(F.col("ns") == ns).select(*default.columns))
+    return keys.select(*KEY).distinct().join(out, KEY)
+
+
 def offload(objects: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     """(stubs and small objects, offloaded payloads): payloads that satisfy predicate go elsewhere and leave a stub."""
     away = F.coalesce(predicate, F.lit(False))

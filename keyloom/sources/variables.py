@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +24,19 @@ def get_value(variables: DataFrame, key: str) -> str:
     if not row["n"]:
         raise NotFound(key)
     return row["v"]
+
+
+class Variables:
+    """Variables that stay: a Parquet folder to which every set() appends."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).option("ignoreMissingFiles", True).parquet(self.folder)
+
+    def set(self, key: str, value: str) -> None:
+        self.spark.createDataFrame([(key, value, time.time_ns())], SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def get(self, key: str) -> str:
+        return get_value(self.table(), key)

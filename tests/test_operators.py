@@ -137,7 +137,7 @@ def test_files_to_tree_and_back(spark, tmp_path):
     (tmp_path / "d/e/b.txt").write_bytes(b"defg")
     (tmp_path / "d/skip.tmp").write_bytes(b"x")
     found = files.scan(spark, f"file://{tmp_path}/d", ignore=["*.tmp"])
-    assert {(r.path.lstrip("/"), r.size) for r in found.where("not is_dir").collect()} == {("a.txt", 3), ("e/b.txt", 4)}
+    assert {(r.path, r.size) for r in found.where("not is_dir").collect()} == {("a.txt", 3), ("e/b.txt", 4)}
     texts = files.contents(spark, f"file://{tmp_path}/d")
     assert texts.where(F.col("content_hash") == F.sha2(F.lit(b"abc"), 256)).count() == 1
 
@@ -174,3 +174,56 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_paths(spark):
     row = spark.range(1).select(paths.ancestors(F.lit("a/b/c")).alias("up"), paths.ancestors(F.lit(""), itself=True).alias("root"), paths.depth(F.lit("")).alias("d")).first()
     assert row.up == ["", "a", "a/b"] and row.root == [""] and row.d == 0
+
+
+def test_null_fields_are_equal_in_index_upkeep(spark):
+    schema = "a string, b int, key string"
+    rows = spark.createDataFrame([(None, 1, "k"), ("x", None, "l"), ("y", 2, "m")], schema)
+    assert entity.index_gc(rows, rows).isEmpty()
+    gone = rows.where("a is null").withColumn("change", F.lit("del"))
+    assert entity.apply_diff(rows, gone).count() == 2
+    objects = spark.createDataFrame([("k",), ("l",)], "key string")
+    assert entity.clean_index(rows.select(F.col("a").alias("ref"), "key").where("a is null"), ["ref", "key"], objects).isEmpty()
+    assert keyset.delete(rows.select("a"), rows.select("a").where("a is null")).count() == 2
+    assert keyset.has(rows.select("a"), rows.select("a")).count() == 3
+
+
+def test_an_entity_has_seven_index_rows(spark):
+    new = spark.createDataFrame([("foo", b"42", "int", "foo", 1, [])], "ns string, payload binary, type string, name string, version int, refs array<string>")
+    objects, held, changes = entity.save(None, new)
+    assert objects.count() == 1 and changes.count() == 7
+    assert [x.count() for x in entity.save(held, new)] == [0, 1, 0]
+    more = new.withColumn("payload", F.lit(b"43"))
+    objects, held, changes = entity.save(held, more)
+    assert held.count() == 2 and entity.entity_index(held).count() == 14
+
+
+def test_a_second_writer_fails(spark, tmp_path):
+    one = stores.ParquetStore(spark, f"file://{tmp_path}/store")
+    row = lambda x: spark.createDataFrame([("foo", x)], "ns string, payload binary")
+    batch = one.append(one_row := row(b"1").withColumn("hash", F.sha2("payload", 256)))
+    one.publish([batch], 0)
+    with pytest.raises(RuntimeError, match="another writer"):
+        one.publish([one.append(one_row)], 0)
+    one.write(row(b"2"))
+    keys = one.keys()
+    assert keys.count() == 2
+    one.delete(one_row.select("ns", "hash"))
+    assert one.keys().count() == 1
+    assert one.write(row(b"1")).where("written").count() == 1 and one.keys().count() == 2
+    one.compact()
+    assert one.keys().count() == 2 and len(one.batches()) == 1
+
+
+def test_variables_stay(spark, tmp_path):
+    held = variables.Variables(spark, f"file://{tmp_path}/vars")
+    held.set("foo", "41")
+    held.set("foo", "42")
+    assert variables.Variables(spark, f"file://{tmp_path}/vars").get("foo") == "42"
+
+
+def test_pushing_what_the_source_lacks_is_an_error(spark):
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    a = spark.createDataFrame([("a",)], "node string")
+    with pytest.raises(LookupError, match="b is referred"):
+        graph.copy(a, a.where("false"), a, edges)
