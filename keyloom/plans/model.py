@@ -21,7 +21,23 @@ EDGES = [
     ("nation", "n_nationkey", "n_regionkey", "region"),
     ("labels", "doc_id", "doc_id", "documents"),
 ]
-KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
+#: The column whose value names an entity of a table; rows that share it are parts of one entity.
+KEYS = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey",
+    "customer": "c_custkey",
+    "supplier": "s_suppkey",
+    "part": "p_partkey",
+    "orders": "o_orderkey",
+    "lineitem": "l_orderkey",
+    "events": "event_id",
+    "documents": "doc_id",
+    "embeddings": "vec_id",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id",
+    "conversations": "conv_id",
+}
 ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 PART_INDEX = IndexSpec("part_shape", (("p_brand", "string"), ("p_type", "string"), ("p_size", "int")))
 ORDER_INDEX = IndexSpec("order_status", (("o_orderstatus", "string"), ("o_orderdate", "timestamp_ntz")))
@@ -50,6 +66,10 @@ def nodes(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     return reduce(DataFrame.union, [table(spark, sf_dir, t).select(node(t, KEYS[t]).alias("node")) for t in tables])
 
 
+def nodes_sql(*tables: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}:' || {KEYS[t]} AS node FROM {t}" for t in tables)
+
+
 def part_key() -> Column:
     return F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))
 
