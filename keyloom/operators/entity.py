@@ -8,6 +8,9 @@ Tables
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,6 +188,27 @@ def stale(entities: DataFrame, indexed: DataFrame, version: int) -> DataFrame:
     return entities.join(indexed, "key", "left").where(F.col("version").isNull() | (F.col("version") != version)).select("key")
 
 
+def update_index(held: DataFrame, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summaries of another version, or of none, derived anew as `version`; the others are not touched.
+
+    held as save() returns it. Returns (summaries after it, index changes: idx, field, key, change; the number of summaries saved again: resaved).
+    """
+    outdated = ~F.col("version").eqNullSafe(F.lit(version))
+    old = held.where(outdated)
+    new = summarize(old.withColumn("version", F.lit(version))).select(*held.columns)
+    return held.where(~outdated).unionByName(new), index_diff(entity_index(old), entity_index(new)), old.agg(F.count("*").alias("resaved"))
+
+
+def provided_index(summaries: DataFrame, providers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The index rows (idx, field, key) of all providers together, each once; a provider derives rows from summaries, as entity_index() does."""
+    return reduce(DataFrame.unionByName, [p(summaries).select("idx", "field", "key") for p in providers]).distinct()
+
+
+def slots(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with `slot`, the hash of the columns that say which place an entity takes; entities of one slot are versions of each other."""
+    return rows.withColumn("slot", content_hash(*columns))
+
+
 def resave(objects: DataFrame, ns: str, again: Column) -> DataFrame:
     """Objects of one namespace encoded anew: their old and new keys."""
     rows = objects.where(F.col("ns") == ns)
@@ -205,6 +229,12 @@ def fetch(paths: DataFrame, objects: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by(F.struct("key", "payload"), "turn").alias("f")).select("id", "f.*")
 
 
+def sub_values(wanted: DataFrame, subs: DataFrame) -> DataFrame:
+    """key, hash and payload of each wanted (key, hash) that its container holds. subs: a row (key, hash, payload) for each sub-value of a container, however many it has."""
+    found = subs.join(wanted.select("key", "hash").distinct(), ["key", "hash"], "left_semi")
+    return found.select("key", "hash", "payload").dropDuplicates(["key", "hash"])
+
+
 def new_name(prefix: str, machine: str) -> Column:
     """prefix/machine-YYYYMMDDhhmmssmmm-xxxx; check it against the names in use and draw again."""
     now = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")

@@ -302,6 +302,43 @@ def update_index_stale(spark, d):
     return entity.stale(table(spark, d, "documents").select(model.node("labels", "doc_id").alias("key")), saved, 1)
 
 
+@query("SELECT count(*) FILTER (o_orderkey % 6 <> 0) AS resaved, count(*) AS summaries, 5 * count(*) FILTER (o_orderkey % 6 <> 0) AS added, 5 * count(*) FILTER (o_orderkey % 6 <> 0) AS deleted FROM orders")
+def update_index(spark, d):
+    """Every sixth order is up to date; of the others the four rows that name the summary and the version row change."""
+    version = F.when(F.col("o_orderkey") % 6 == 0, F.lit(2)).when(F.col("o_orderkey") % 6 == 1, F.lit(1))
+    rows = _orders_as_entities(spark, d).withColumn("version", F.coalesce(version, F.lit(0)))
+    _, held, _ = entity.save(None, rows.drop("o_orderkey"))
+    after, changes, resaved = entity.update_index(held, 2)
+    count = changes.agg(F.count_if(F.col("change") == "add").alias("added"), F.count_if(F.col("change") == "del").alias("deleted"))
+    return resaved.join(after.where("version = 2").agg(F.count("*").alias("summaries"))).join(count)
+
+
+@query("""WITH e AS (SELECT DISTINCT 'orders:' || sha256(o_orderkey::VARCHAR) AS key, 'order-' || o_orderkey AS name, 'customer:' || o_custkey AS ref FROM orders)
+SELECT 'digits' AS idx, right(name, 1) AS field, key FROM e UNION SELECT 'owner', ref, key FROM e""")
+def index_providers(spark, d):
+    _, held, _ = entity.save(None, _orders_as_entities(spark, d).drop("o_orderkey"))
+
+    def digits(summaries):
+        return summaries.select(F.lit("digits").alias("idx"), F.right("name", F.lit(1)).alias("field"), "key")
+
+    def owner(summaries):
+        return summaries.select(F.lit("owner").alias("idx"), F.explode("refs").alias("field"), "key")
+
+    return entity.provided_index(held, [digits, owner])
+
+
+@query("SELECT sha256(o_custkey || '|' || o_orderstatus) AS slot, count(*) AS versions FROM orders GROUP BY 1")
+def slot_versions(spark, d):
+    return entity.slots(table(spark, d, "orders"), "o_custkey", "o_orderstatus").groupBy("slot").agg(F.count("*").alias("versions"))
+
+
+@query("SELECT DISTINCT 'conversations:' || conv_id AS key, sha256(text) AS hash, text AS payload FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def fetch_sub_values(spark, d):
+    turns = table(spark, d, "conversations").select(model.node("conversations", "conv_id").alias("key"), F.sha2("text", 256).alias("hash"), "text", "role")
+    subs = turns.select("key", "hash", F.col("text").alias("payload"))
+    return entity.sub_values(turns.where("role = 'user' and text is not null"), subs)
+
+
 LEVELS = "WITH f AS (SELECT p_brand || '/' || p_type || '/p' || p_partkey AS path, p_brand AS b, p_brand || '/' || p_type AS t, p_size::BIGINT AS size FROM part), n AS (SELECT '' AS path, size, true AS dir FROM f UNION ALL SELECT b, size, true FROM f UNION ALL SELECT t, size, true FROM f UNION ALL SELECT path, size, false FROM f)"
 
 
