@@ -91,22 +91,77 @@ def delete_summary_index(summaries: DataFrame, gone: DataFrame) -> DataFrame:
     return minus(lost, kept)
 
 
+#: The namespace of summaries, and what the index rows of one derive from.
+SUMMARIES = "c-sumary"
+INDEXED = ("summary", "type", "name", "version", "refs")
+
+
+def summary_key(of: Callable[[str], Column] = F.col) -> Column:
+    return key_text(F.lit(SUMMARIES), content_hash(of("key"), of("type"), of("name"), of("version").cast("string"), F.array_join(of("refs"), ",")))
+
+
+def identified(entities: DataFrame) -> DataFrame:
+    refs = F.array_sort(F.array_distinct(F.coalesce("refs", F.array().cast("array<string>"))))
+    return entities.withColumns({"key": key_text("ns", "hash"), "refs": refs})
+
+
 def summarize(entities: DataFrame) -> DataFrame:
     """Entities (ns, hash, type, name, version, refs: array of keys) with `key` and the key of their summary, whose hash covers all that is indexed."""
-    refs = F.array_sort(F.array_distinct(F.coalesce("refs", F.array().cast("array<string>"))))
-    rows = entities.withColumns({"key": key_text("ns", "hash"), "refs": refs})
-    return rows.withColumn("summary", key_text(F.lit("c-sumary"), content_hash("key", "type", "name", F.col("version").cast("string"), F.array_join("refs", ","))))
+    return identified(entities).withColumn("summary", summary_key())
+
+
+def _row(idx: str, field: Column, key: Column, **more: Column) -> Column:
+    return F.struct(F.lit(idx).alias("idx"), field.cast("string").alias("field"), key.alias("key"), *[c.alias(n) for n, c in more.items()])
+
+
+def _around(key: Column, summary: Column, **more: Column) -> list[Column]:
+    return [_row("summary_key", key, summary, **more), _row("summary_of", summary, key, **more), _row("refer_to", summary, key, **more), _row("refered_by", key, summary, **more)]
+
+
+def _of_refs(key: Column, refs: Column, **more: Column) -> Column:
+    return F.flatten(F.transform(refs, lambda r: F.array(_row("refer_to", key, r, **more), _row("refered_by", r, key, **more))))
 
 
 def entity_index(summaries: DataFrame) -> DataFrame:
     """The built-in index rows (idx, field, key) that summaries imply: type, name and version of each entity, the two
     directions between it and its summary, and between whatever refers and is referred to. Seven for an entity with a
     name and without references. The key-first rows are the same with field and key swapped, so none are stored."""
-    row = lambda idx, f, k: F.struct(F.lit(idx).alias("idx"), f.cast("string").alias("field"), k.alias("key"))
-    key, summary = F.col("key"), F.col("summary")
-    one = F.array(row("type", F.col("type"), key), row("name", F.col("name"), key), row("version", F.col("version"), key), row("summary_key", key, summary), row("summary_of", summary, key), row("refer_to", summary, key), row("refered_by", key, summary))
-    each = F.flatten(F.transform("refs", lambda r: F.array(row("refer_to", key, r), row("refered_by", r, key))))
-    return summaries.select(F.inline(F.concat(one, each))).where("field is not null").distinct()
+    key = F.col("key")
+    one = F.array(*[_row(c, F.col(c), key) for c in ("type", "name", "version")], *_around(key, F.col("summary")))
+    return summaries.select(F.inline(F.concat(one, _of_refs(key, F.col("refs"))))).where("field is not null").distinct()
+
+
+def _by_key(summaries: DataFrame, name: str) -> DataFrame:
+    """key, the number of its summaries (name_n), the columns of one if it has one (name_*)."""
+    return summaries.groupBy("key").agg(F.count("*").alias(f"{name}_n"), *[F.first(c).alias(f"{name}_{c}") for c in INDEXED])
+
+
+def _more(a: str, b: str, change: str) -> Column:
+    """Index rows of the summary a that b lacks, others with a null field; a or b may be null."""
+    key, mark, none = F.col("key"), {"change": F.lit(change)}, F.array().cast("array<string>")
+    has, lacks = ({c: F.col(f"{side}_{c}") for c in INDEXED} for side in (a, b))
+    differs = F.col(f"{a}_n").isNotNull() & ~has["summary"].eqNullSafe(lacks["summary"])
+    one = [F.when(~has[c].eqNullSafe(lacks[c]), _row(c, has[c], key, **mark)) for c in ("type", "name", "version")]
+    refs = F.array_except(F.coalesce(has["refs"], none), F.coalesce(lacks["refs"], none))
+    return F.when(differs, F.concat(F.array(*one, *_around(key, has["summary"], **mark)), _of_refs(key, refs, **mark))).otherwise(F.array().cast("array<struct<idx:string,field:string,key:string,change:string>>"))
+
+
+def index_changes(old: DataFrame, new: DataFrame, both: DataFrame) -> DataFrame:
+    """What index_diff() finds between the index rows of two sets of summaries, those of old whose keys new lacks left out.
+
+    both: as _by_key() gives it, of old and new side by side. Every row names its entity or its summary, so one summary
+    of a key is compared with the one before it, column by column, and only summaries are shuffled. A row has two owners
+    only if a key has several summaries or a summary is itself an entity; such keys, and what those summaries refer to,
+    are compared row by row.
+    """
+    single = (F.col("new_n") == 1) & (F.coalesce("old_n", F.lit(1)) == 1)
+    nested = old.select("ns", "key", "refs").unionByName(new.select("ns", "key", "refs")).where(F.col("ns") == SUMMARIES)
+    nested = nested.select(F.explode(F.concat(F.array("key"), "refs")).alias("key")).where("key is not null").distinct()
+    shared = both.where(~single).select("key").unionByName(nested).distinct()
+    rest = new.join(shared, "key", "left_semi")
+    before = old.join(shared, "key", "left_semi").join(new.select("key"), "key", "left_semi")
+    apart = both.where(single).join(nested, "key", "left_anti").select(F.inline(F.concat(_more("new", "old", "add"), _more("old", "new", "del"))))
+    return apart.where("field is not null").unionByName(index_diff(entity_index(before), entity_index(rest)))
 
 
 def save(held: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -115,13 +170,14 @@ def save(held: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame,
     Returns (objects to append: ns, hash, payload; summaries after it; index changes: idx, field, key, change). The newest summary of an entity
     replaces its older ones, common index rows are not touched, and saving the same again changes nothing.
     """
-    rows = summarize(new.withColumn("hash", F.sha2("payload", 256)))
-    latest_ = rows.drop("payload").dropDuplicates(["key", "summary"])
+    rows = identified(new.withColumn("hash", F.sha2("payload", 256)))
+    # all that follows goes by key, so summaries are dealt once, and made only after that
+    latest_ = rows.drop("payload").repartition("key").withColumn("summary", summary_key()).dropDuplicates(["key", "summary", "ns", "hash"])
     old = latest_.where("false") if held is None else held
-    objects = rows.select("ns", "hash", "payload").dropDuplicates(["ns", "hash"]).join(old.select("ns", "hash"), ["ns", "hash"], "left_anti")
+    objects = rows.select("key", "ns", "hash", "payload").repartition("key").dropDuplicates(["key", "ns", "hash"])
+    objects = objects.join(old.where("ns is not null and hash is not null").select("key"), "key", "left_anti").select("ns", "hash", "payload")
     after = old.join(latest_.select("key"), "key", "left_anti").select(*latest_.columns).unionByName(latest_)
-    touched = old.join(latest_.select("key"), "key", "left_semi")
-    return objects, after, index_diff(entity_index(touched), entity_index(latest_))
+    return objects, after, index_changes(old, latest_, _by_key(latest_, "new").join(_by_key(old, "old"), "key", "left"))
 
 
 def latest(rows: DataFrame, key: str, *newest_first: Column) -> DataFrame:

@@ -227,3 +227,26 @@ def test_pushing_what_the_source_lacks_is_an_error(spark):
     a = spark.createDataFrame([("a",)], "node string")
     with pytest.raises(LookupError, match="b is referred"):
         graph.copy(a, a.where("false"), a, edges)
+
+
+def test_index_changes_equal_a_comparison_of_all_rows(spark):
+    """Also with several summaries of a key, summaries that are entities themselves, nulls and repeated rows; only summaries are shuffled."""
+    schema = "ns string, payload binary, type string, name string, version int, refs array<string>"
+    first = [("a", b"1", "t", "n", 1, ["x", "y", None]), ("a", b"2", "t", None, 1, None), ("a", b"3", "t", "n", 1, ["x"]), ("a", b"3", "t", "m", 1, ["x"]), ("a", b"3", "t", "m", 1, ["x"]), ("a", None, "t", "n", 1, [])]
+    _, held, _ = entity.save(None, spark.createDataFrame(first, schema))
+    one = held.where("name = 'n' and version = 1").join(held.groupBy("key").count().where("count = 1"), "key").where("hash is not null").first()
+    refs = "".join(f",{r}" for r in one.refs if r)[1:]
+    told = f"{one.key}|{one.type}|{one.name}|{one.version}|{refs}".encode()  # its payload has the hash of that summary
+    second = [("a", b"1", "t", "n", 2, ["y", "z"]), ("a", b"3", "t", "k", 1, ["x"]), ("a", b"4", None, "n", None, []), ("c-sumary", told, "s", "n", 1, [one.key])]
+    third = [("a", b"1", "t", "n", 1, ["x", "y", None]), ("a", b"2", "t", None, 1, []), ("c-sumary", told, "s", "m", 1, [one.key]), ("a", b"3", "t", "l", 1, ["x"]), ("a", b"3", "t", "o", 3, [])]
+    for rows in (second, third):
+        _, after, changes = entity.save(held, spark.createDataFrame(rows, schema))
+        new = entity.summarize(spark.createDataFrame(rows, schema).withColumn("hash", F.sha2("payload", 256)))
+        whole = entity.index_diff(entity.entity_index(held.join(new, "key", "left_semi")), entity.entity_index(new))
+        assert sorted(map(str, changes.collect())) == sorted(map(str, whole.collect()))
+        _, again, _ = entity.update_index(after, 2)
+        old = after.where("version is null or version <> 2")
+        whole = entity.index_diff(entity.entity_index(old), entity.entity_index(entity.summarize(old.withColumn("version", F.lit(2)))))
+        assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
+        held = after.localCheckpoint()
+    assert one.summary == "c-sumary:" + spark.range(1).select(F.sha2(F.lit(told), 256)).first()[0]
