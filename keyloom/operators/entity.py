@@ -251,8 +251,11 @@ def update_index(held: DataFrame, version: int) -> tuple[DataFrame, DataFrame, D
     """
     outdated = ~F.col("version").eqNullSafe(F.lit(version))
     old = held.where(outdated)
-    new = summarize(old.withColumn("version", F.lit(version))).select(*held.columns)
-    return held.where(~outdated).unionByName(new), index_diff(entity_index(old), entity_index(new)), old.agg(F.count("*").alias("resaved"))
+    new = old.withColumn("version", F.lit(version)).withColumn("summary", summary_key())
+    now = {c: F.col(f"old_{c}") for c in INDEXED} | {"key": F.col("key"), "version": F.lit(version), "n": F.col("old_n")}
+    now["summary"] = summary_key(now.__getitem__)
+    both = _by_key(old, "old").select("*", *[now[c].alias(f"new_{c}") for c in (*INDEXED, "n")])
+    return held.where(~outdated).unionByName(new), index_changes(old, new, both), old.agg(F.count("*").alias("resaved"))
 
 
 def provided_index(summaries: DataFrame, providers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
