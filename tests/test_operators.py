@@ -250,3 +250,12 @@ def test_index_changes_equal_a_comparison_of_all_rows(spark):
         assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
         held = after.localCheckpoint()
     assert one.summary == "c-sumary:" + spark.range(1).select(F.sha2(F.lit(told), 256)).first()[0]
+
+
+def test_a_save_deals_summaries_not_index_rows(spark, capsys):
+    new = spark.range(3000).select(F.lit("a").alias("ns"), F.encode(F.col("id").cast("string"), "UTF-8").alias("payload"), F.lit("t").alias("type"), F.col("id").cast("string").alias("name"), F.lit(1).alias("version"), F.array(F.lit("b")).alias("refs"))
+    _, _, changes = entity.save(None, new)
+    assert changes.count() == 27000
+    changes.explain()
+    plan = capsys.readouterr().out.split("replicaterows")[0]  # up to the comparison row by row, which has nothing to do here
+    assert plan.count("Exchange") == 1 and "inline" in plan
