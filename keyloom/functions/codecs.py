@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -27,14 +26,15 @@ class Codec:
         return payload
 
 
-@F.pandas_udf(BinaryType())
-def deflate(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: None if b is None else zlib.compress(b, 1))
+# Without Arrow, rows go to Python a hundred at a time. An Arrow batch would hold ten thousand payloads and their results at once.
+@F.udf(BinaryType(), useArrow=False)
+def deflate(payload: bytes | None) -> bytes | None:
+    return None if payload is None else zlib.compress(payload, 1)
 
 
-@F.pandas_udf(BinaryType())
-def inflate(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: None if b is None else zlib.decompress(b))
+@F.udf(BinaryType(), useArrow=False)
+def inflate(payload: bytes | None) -> bytes | None:
+    return None if payload is None else zlib.decompress(payload)
 
 
 class Deflate(Codec):
@@ -105,7 +105,7 @@ class Segmented(Codec):
             pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.hex(self.inner.encode(F.substring(whole, i * self.size + 1, F.lit(self.size)))))
             return F.encode(F.array_join(pieces, ","), "UTF-8")
 
-        # bound to a variable: the payload may itself be a Pandas UDF's result, which lambdas can't hold
+        # bound to a variable: the payload may itself be a Python UDF's result, which lambdas can't hold
         return F.transform(F.array(payload), cut)[0]
 
     def decode(self, payload: Column) -> Column:

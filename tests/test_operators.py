@@ -259,3 +259,13 @@ def test_a_save_deals_summaries_not_index_rows(spark, capsys):
     changes.explain()
     plan = capsys.readouterr().out.split("replicaterows")[0]  # up to the comparison row by row, which has nothing to do here
     assert plan.count("Exchange") == 1 and "inline" in plan
+
+
+def test_payloads_are_compressed_in_small_batches(spark, capsys):
+    codec = codecs.Hybrid(codecs.Deflate())
+    rows = spark.createDataFrame([(b"",), (b"ab" * 50000,), (b"\x00\xff",), (None,)], "p binary")
+    stored = rows.select("p", codec.encode(F.col("p")).alias("s"))
+    stored.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
+    assert stored.where("length(s) < length(p)").count() == 1
+    assert stored.select(codec.decode(F.col("s")).eqNullSafe(F.col("p"))).distinct().collect() == [(True,)]
