@@ -1,8 +1,8 @@
 """Reference graphs: reachability, garbage collection, replication.
 
-A closure is a loop over frontiers. The edges are written once, by source; each round joins the newest
-nodes with them and drops what is known or excluded, so a round costs one shuffle of the frontier, and
-rounds are as many as the graph is deep. Every round is written, which keeps plans short and survives
+A closure is a loop over frontiers. The edges are written once, as they come: repeated ones cost less
+than a shuffle that finds them. Each round joins the newest nodes with them and drops what is known or
+excluded; a small frontier is broadcast, and rounds are as many as the graph is deep. Every round is written, which keeps plans short and survives
 lost executors.
 """
 
@@ -39,7 +39,7 @@ def closure(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -
     def allowed(nodes: DataFrame) -> DataFrame:
         return nodes if stop is None else nodes.join(stop, "node", "left_anti")
 
-    edges = checkpoint(edges.select("src", "dst").repartition("src"))
+    edges = checkpoint(edges.select("src", "dst"))
     frontier = checkpoint(allowed(roots.select("node").distinct()))
     known = frontier
     while not frontier.isEmpty():

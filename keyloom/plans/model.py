@@ -53,9 +53,14 @@ def node(ns: str, column: str) -> Column:
 
 
 def edges(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
-    """(src, dst) of the references of the given tables, or of all."""
+    """(src, dst) of the references of the given tables, or of all, each once."""
+    return repeated_edges(spark, sf_dir, *tables).distinct()
+
+
+def repeated_edges(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
+    """The same, an edge for each row that refers."""
     parts = [table(spark, sf_dir, t).select(node(t, k).alias("src"), node(to, c).alias("dst")) for t, k, c, to in EDGES if not tables or t in tables]
-    return reduce(DataFrame.union, parts).distinct()
+    return reduce(DataFrame.union, parts)
 
 
 def edges_sql(*tables: str) -> str:

@@ -210,13 +210,13 @@ REACH = f"""WITH RECURSIVE e AS ({model.edges_sql()}), r AS (SELECT 'orders:' ||
 @query(f"{REACH} SELECT node FROM r")
 def gc_reachable(spark, d):
     roots = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(model.node("orders", "o_orderkey").alias("node"))
-    return graph.closure(roots, model.edges(spark, d))
+    return graph.closure(roots, model.repeated_edges(spark, d))
 
 
 @query(f"{REACH} SELECT DISTINCT node FROM ({model.nodes_sql(*model.KEYS)}) WHERE node NOT IN (SELECT node FROM r)")
 def gc_dead(spark, d):
     roots = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(model.node("orders", "o_orderkey").alias("node"))
-    return graph.dead(model.nodes(spark, d, *model.KEYS).distinct(), roots, model.edges(spark, d))
+    return graph.dead(model.nodes(spark, d, *model.KEYS).distinct(), roots, model.repeated_edges(spark, d))
 
 
 @query(f"""WITH RECURSIVE e AS ({model.edges_sql()}), there AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_custkey % 3 = 0 UNION SELECT 'part:' || p_partkey FROM part WHERE p_partkey % 2 = 0),
@@ -225,7 +225,7 @@ def push_plan(spark, d):
     roots = table(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(model.node("lineitem", "l_orderkey").alias("node"))
     there = table(spark, d, "customer").where("c_custkey % 3 = 0").select(model.node("customer", "c_custkey").alias("node"))
     there = there.union(table(spark, d, "part").where("p_partkey % 2 = 0").select(model.node("part", "p_partkey").alias("node")))
-    return graph.push(roots, model.edges(spark, d), there)
+    return graph.push(roots, model.repeated_edges(spark, d), there)
 
 
 @query(f"{REACH} SELECT 'part:' || p_partkey AS node, p_size AS size FROM part WHERE 'part:' || p_partkey IN (SELECT node FROM r) OR p_partkey % 2 = 0")
@@ -233,7 +233,7 @@ def gc_sweep(spark, d):
     """Parts after a sweep whose candidates are the odd ones: an even part isn't in the summary index, so it stays."""
     roots = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(model.node("orders", "o_orderkey").alias("node"))
     parts = table(spark, d, "part").select(model.part_key().alias("node"), F.col("p_size").alias("size"), "p_partkey")
-    return graph.sweep(parts.drop("p_partkey"), parts.where("p_partkey % 2 = 1").select("node"), roots, model.edges(spark, d))
+    return graph.sweep(parts.drop("p_partkey"), parts.where("p_partkey % 2 = 1").select("node"), roots, model.repeated_edges(spark, d))
 
 
 @query("""WITH c AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE c_custkey % 7 = 0)
@@ -244,7 +244,7 @@ def push_copy(spark, d):
     source = model.nodes(spark, d, "customer", "nation", "region")
     there = table(spark, d, "nation").where("n_nationkey < 5").select(model.node("nation", "n_nationkey").alias("node"))
     roots = table(spark, d, "customer").where("c_custkey % 7 = 0").select(model.node("customer", "c_custkey").alias("node"))
-    return graph.copy(source, there, roots, model.edges(spark, d, "customer", "nation")).distinct()
+    return graph.copy(source, there, roots, model.repeated_edges(spark, d, "customer", "nation")).distinct()
 
 
 SAVED = """WITH e AS (SELECT 'orders:' || sha256(o_orderkey::VARCHAR) AS key, 'order-' || o_orderkey AS name, 'customer:' || o_custkey AS ref FROM orders),

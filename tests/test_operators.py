@@ -261,6 +261,16 @@ def test_a_save_deals_summaries_not_index_rows(spark, capsys):
     assert plan.count("Exchange") == 1 and "inline" in plan
 
 
+def test_closure_writes_repeated_edges_without_a_shuffle(spark, monkeypatch, capsys):
+    written, write = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: written.append(df) or write(df))
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("x", "a")] * 2, "src string, dst string")
+    roots = spark.createDataFrame([("a",), ("a",)], "node string")
+    assert sorted(r.node for r in graph.closure(roots, edges).collect()) == ["a", "b", "c"]
+    written[0].explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_payloads_are_compressed_in_small_batches(spark, capsys):
     codec = codecs.Hybrid(codecs.Deflate())
     rows = spark.createDataFrame([(b"",), (b"ab" * 50000,), (b"\x00\xff",), (None,)], "p binary")
