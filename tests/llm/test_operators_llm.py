@@ -134,6 +134,13 @@ def test_chain_follows_the_order_of_both_texts():
     assert sorted(chaining.chain([*line, (3, 500), (9, 20)])[0]) == line
 
 
+def test_words_of_texts_without_a_chain_are_not_dealt(spark):
+    texts = spark.range(2000).select("id", F.lit(b"ab").alias("words"), chaining.spread(F.col("id")).alias("u"))
+    found = chaining.bit_filter(texts.where("id % 100 = 7").select("u"), "u")
+    kept = texts.mapInArrow(chaining.held_in(found), "uid long, words binary").collect()
+    assert {r.uid for r in kept} == set(range(7, 2000, 100)) and {bytes(r.words) for r in kept} == {b"ab"}
+
+
 def test_jaccard_with_tiles_equals_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     base = words(rng, 60).split()
