@@ -141,6 +141,67 @@ def test_words_of_texts_without_a_chain_are_not_dealt(spark):
     assert {r.uid for r in kept} == set(range(7, 2000, 100)) and {bytes(r.words) for r in kept} == {b"ab"}
 
 
+def test_rising_matches_are_chained_without_a_tree():
+    rng = random.Random(51)
+    for n in (1, 2, 10, 300):
+        for most in (3, 30, 90):
+            x, y, line = 0, 0, []
+            for _ in range(n):
+                x, y = x + rng.randint(1, most), y + rng.randint(1, most)
+                line.append((x, y))
+            assert chaining.in_line(line) == chaining.by_tree(line)
+
+
+def test_equal_words_of_gaps_and_diagonals_equal_plain_counting():
+    rng = random.Random(52)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 70))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_next_row(row, x, b)]
+        assert chaining.edit_matches(a, b) == row[-1]
+    a, b = (np.array([rng.randrange(1, 4) for _ in range(400)], np.uint16) for _ in range(2))
+    path = [(10, 30), (12, 32), (14, 34), (60, 80), (90, 110)]
+    of, seed = np.zeros(len(path), np.int64), np.array([x - 10 for x, _ in path])
+    end, there, equal = chaining.between(path, a, b)
+    assert (end, there) == (94, 114) and equal == chaining.straight(of, seed, np.array([84]), np.array([10]), a, np.array([30]), b)[0]
+
+
+def _next_row(row, x, b):
+    left = 0
+    for j, y in enumerate(b, 1):
+        left = row[j - 1] + 1 if x == y and x else max(row[j], left)
+        yield left
+
+
+def test_lists_of_seeds_are_counted_without_sorting(spark):
+    rng = random.Random(53)
+    rows = [(seed, uid << 20, at, 0, rng.random() < 0.5) for seed in range(60) for uid in rng.sample(range(30), rng.randint(1, 25)) for at in rng.sample(range(50), rng.randint(1, 2))]
+    keyed = spark.createDataFrame(rows, "seed long, uid long, at int, span int, fresh boolean")
+    found = chaining.matched(keyed, 8)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    wanted = Counter()
+    for seed in range(60):
+        held = sorted(r[1:3] + r[4:] for r in rows if r[0] == seed)
+        for i, (uid, at, fresh) in enumerate(held):
+            for j, (other, there, new) in enumerate(held[:i]):
+                if uid != other and (fresh or new) and (len(held) <= 8 or j == 0 and (fresh or i == len(held) - 1)):
+                    wanted[uid, other, at << 32 | there] += 1
+    assert Counter(map(tuple, found.collect())) == wanted
+
+
+def test_seeds_travel_as_binary_values_and_words_have_numbers(spark):
+    rng = random.Random(54)
+    shared = words(rng, 60)
+    texts = [f"{words(rng, 30)} {shared} {words(rng, n)}" for n in range(40)] + ["", None]
+    df = spark.createDataFrame(documents(texts), "doc_id long, text string, lang string, source string, n_chars long")
+    found = chaining.seeded(df.select("doc_id", "text"), chaining.LEAST)
+    assert "array" not in found.schema.simpleString()
+    rows = sorted(found.collect(), key=lambda r: r.uid)
+    assert [r.doc_id for r in rows] == list(range(42)) and all(a.uid + max(a.n_words, 1) <= b.uid for a, b in zip(rows, rows[1:]))
+    assert all(set(range(30, 87)) <= set(np.frombuffer(r.seeds_at + r.hot_at, np.uint32).tolist()) for r in rows[:40])
+
+
 def test_jaccard_with_tiles_equals_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     base = words(rng, 60).split()
