@@ -141,6 +141,20 @@ def test_words_of_texts_without_a_chain_are_not_dealt(spark):
     assert {r.uid for r in kept} == set(range(7, 2000, 100)) and {bytes(r.words) for r in kept} == {b"ab"}
 
 
+def test_only_texts_with_spans_are_dealt_to_them(spark):
+    texts = spark.range(2000).select(F.col("id").alias("uid"), F.lit(b"ab").alias("hot"))
+    found = chaining.bit_filter(texts.where("uid % 100 = 7").select(chaining.spread(F.col("uid")).alias("u")), "u")
+    near = [r.uid for r in chaining.held(texts, found).collect()]
+    rest = [r.uid for r in texts.mapInArrow(lambda batches: chaining.without(batches, found), texts.schema).collect()]
+    assert near == list(range(7, 2000, 100)) and sorted(near + rest) == list(range(2000))
+    uid = np.array([5, (3 << chaining.TASK_BITS) + 7])
+    assert chaining.spread(uid).tolist() == [r.u for r in spark.createDataFrame([(int(x),) for x in uid], "uid long").select(chaining.spread(F.col("uid")).alias("u")).collect()]
+
+
+def test_bitmap_of_seeds_grows_with_them():
+    assert [chaining.bits_for(n) for n in (0, 1 << 20, 12_000_000, 1 << 40)] == [chaining.FEWEST_BITS, 25, 28, chaining.MOST_BITS]
+
+
 def test_rising_matches_are_chained_without_a_tree():
     rng = random.Random(51)
     for n in (1, 2, 10, 300):
